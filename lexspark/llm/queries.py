@@ -6,18 +6,21 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import mixing, pieces, secrets, sharding, simhash
+from . import mixing, pieces, quality, secrets, sharding, simhash, substrings, toxicity
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op2_mixing": mixing.op2_mixing,
+        "op4_substrings": substrings.op4_substrings,
         "op5_sentencepiece": pieces.op5_sentencepiece,
         "op6_secrets": secrets.op6_secrets,
+        "op7_toxicity": toxicity.op7_toxicity,
         "op8_simhash": simhash.op8_simhash,
         "op9_sharding": sharding.op9_sharding,
+        "op10_quality": quality.op10_quality,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_mixing": mixing.OP2_SQL}
+    return {"op2_mixing": mixing.OP2_SQL, "op4_substrings": substrings.OP4_SQL}
