@@ -6,12 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import mixing, pieces, quality, secrets, sharding, simhash, substrings, toxicity
+from . import embeddings, mixing, neighbours, pieces, quality, secrets, sharding, simhash, substrings, toxicity
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_neighbours": neighbours.op1_neighbours,
         "op2_mixing": mixing.op2_mixing,
+        "op3_embeddings": embeddings.op3_embeddings,
         "op4_substrings": substrings.op4_substrings,
         "op5_sentencepiece": pieces.op5_sentencepiece,
         "op6_secrets": secrets.op6_secrets,
@@ -23,4 +25,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_mixing": mixing.OP2_SQL, "op4_substrings": substrings.OP4_SQL}
+    return {"op2_mixing": mixing.OP2_SQL, "op3_embeddings": embeddings.OP3_SQL, "op4_substrings": substrings.OP4_SQL}
