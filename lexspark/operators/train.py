@@ -104,7 +104,7 @@ def train(docs: DataFrame, candidates: list[bytes], size: int, *, text: str = "t
     rng = random.Random(seed)
     single = {c for c in candidates if len(c) == 1}
     left = sorted({c for c in candidates if len(c) > 1}, key=order_key)
-    base = dict(capcode=capcode, normalization=norm, reserve=reserve, special=special)
+    base = dict(capcode=capcode, normalization=norm, reserve=reserve, special=special, special_encoded=True)
     fixed = len(Vocab.new(single, **base))
     room = max(0, size - fixed)
     history: list[tuple[int, int, int]] = []

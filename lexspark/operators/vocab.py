@@ -44,6 +44,7 @@ class Patch:
     ids: dict[bytes, int] = field(default_factory=dict)
     scores: dict[bytes, float] = field(default_factory=dict)
     encoded: list[bytes] = field(default_factory=list)  # added as they are, without normalisation
+    encoded_special: list[bytes] = field(default_factory=list)
     size: int | None = None
     reset_ids: bool = False
     unk: bool | None = None
@@ -95,15 +96,17 @@ class Vocab:
 
     @classmethod
     def new(cls, tokens: Iterable[bytes | str] = (), special: Iterable[bytes | str] = (), *, capcode: int = 0, charset: int = 1, normalization: str | int = 0,
-            reserve: int = 0, unk: bool = False, encoded: bool = True, scores: dict[bytes, float] | None = None, ids: dict[bytes, int] | None = None, level: int = 5) -> Vocab:
+            reserve: int = 0, unk: bool = False, encoded: bool = True, special_encoded: bool = False,
+            scores: dict[bytes, float] | None = None, ids: dict[bytes, int] | None = None, level: int = 5) -> Vocab:
         """A vocabulary of the given tokens. encoded: they are already normalised and capcoded."""
         norm = S.norm_flags(normalization)
         if capcode == 2 and norm & S.NORM_FLAGS["lowercase"]:
             raise ValueError("lowercase and capcode 2 exclude each other")
         raw = [_bytes(t) for t in tokens]
         base = cls(capcode=capcode, charset=charset, norm=norm, level=level)
-        patch = Patch(add_special=[_bytes(t) for t in special], reserve=reserve, unk=unk or None, scores=scores or {}, ids=ids or {})
+        patch = Patch(reserve=reserve, unk=unk or None, scores=scores or {}, ids=ids or {})
         (patch.encoded if encoded else patch.add).extend(raw)
+        (patch.encoded_special if special_encoded else patch.add_special).extend(_bytes(t) for t in special)
         return base.modify(patch)
 
     def modify(self, patch: Patch) -> Vocab:
@@ -119,8 +122,7 @@ class Vocab:
         score = {e.token: e.score for e in plain} | {t: s for t, _, s in self.deleted} | patch.scores
         ids = ({} if patch.reset_ids else {e.token: e.id for e in plain}) | patch.ids
         specials = [e.token for e in plain if e.flag & S.SPECIAL and e.token not in gone]
-        for t in patch.add_special:
-            t = enc(t)
+        for t in [*map(enc, patch.add_special), *patch.encoded_special]:
             if 0 < len(t) <= S.MAX_TOKEN and t not in gone and t not in specials:
                 specials.append(t)
         taken = set(specials)

@@ -87,7 +87,7 @@ def of_vocab(v: Vocab) -> TokenFile:
 
 def to_vocab(t: TokenFile, unk: bool = False) -> Vocab:
     scores = dict(zip(t.tokens, t.scores, strict=True)) if t.scores else None
-    return Vocab.new(t.tokens, t.special, capcode=t.capcode, charset=t.charset, normalization=t.norm, reserve=t.reserve, unk=unk, scores=scores, level=t.level)
+    return Vocab.new(t.tokens, t.special, capcode=t.capcode, charset=t.charset, normalization=t.norm, reserve=t.reserve, unk=unk, scores=scores, level=t.level, special_encoded=True)
 
 
 _RESULT = re.compile(r"^(\d+)_\d+\.[A-Za-z0-9]+$")

@@ -72,8 +72,9 @@ def patch_of(doc: dict, base: Vocab) -> Patch:
         for item in doc.get(kind) or []:
             t = read_token(str(item["token"]))
             done = bool(item.get("encoded"))
-            key = t if done or kind == "special" and base.capcode == 0 else to_model(t, base.norm, base.capcode)
-            (p.add_special if kind == "special" else p.encoded if done else p.add).append(t)
+            key = t if done else to_model(t, base.norm, base.capcode)
+            lists = (p.encoded_special if done else p.add_special) if kind == "special" else (p.encoded if done else p.add)
+            lists.append(t)
             if "id" in item:
                 p.ids[key] = int(item["id"])
             if "score" in item:

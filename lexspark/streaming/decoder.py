@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from ..operators.decode import StreamDecoder
+from ..operators.vocab import Vocab
 
 STATE = "rest binary, in_char boolean, in_word boolean, del boolean, ignore boolean, version int, last long"
 OUTPUT = "stream_id string, seq long, text binary"
@@ -22,15 +23,15 @@ class DecodeProcessor(StatefulProcessor):
     that was written under another version of the vocabulary is an error: ids may mean something else.
     """
 
-    def __init__(self, shared: Broadcast):
-        self.shared = shared
+    def __init__(self, vocab: Vocab):
+        self.vocab = vocab  # travels with the processor: its runner has no broadcasts
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
         self.state = handle.getValueState("decoder", STATE)
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        vocab = self.shared.value
+        vocab = self.vocab
         known = self.state.get() if self.state.exists() else None
         if known is not None and known[5] != vocab.version:
             raise ValueError("the vocabulary was modified while a stream was open")
@@ -61,13 +62,13 @@ class DecodeProcessor(StatefulProcessor):
 def decode_stream(tokens: DataFrame, shared: Broadcast) -> DataFrame:
     """(stream_id, seq, text) of a streaming or batch DataFrame (stream_id string, seq long, tokens array<int>,
     is_last boolean). Needs the RocksDB state store provider."""
-    return tokens.groupBy("stream_id").transformWithStateInPandas(DecodeProcessor(shared), outputStructType=OUTPUT, outputMode="append", timeMode="none")
+    return tokens.groupBy("stream_id").transformWithStateInPandas(DecodeProcessor(shared.value), outputStructType=OUTPUT, outputMode="append", timeMode="none")
 
 
 def decode_batch(tokens: DataFrame, shared: Broadcast) -> DataFrame:
     """The same over a finished table, one task row per stream; for comparisons and backfills."""
 
-    def run(key, rows: pd.DataFrame) -> pd.DataFrame:
+    def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
         decoder, out = StreamDecoder(shared.value), []
         for seq, ids, is_last in rows.sort_values("seq", kind="stable")[["seq", "tokens", "is_last"]].itertuples(index=False):
             text = decoder.decode([int(t) for t in ids] if ids is not None else [])
