@@ -8,7 +8,8 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.errors import AnalysisException
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.normalize import to_model
@@ -89,8 +90,18 @@ def score_trials(corpus: DataFrame, trials: list[Vocab]) -> tuple[list[int], lis
     return totals, covered, lost
 
 
+def _newest(spark: SparkSession, folder: str) -> tuple[int, set[bytes]] | None:
+    """(round, candidates) of the newest finished table in a training folder."""
+    try:
+        rows = spark.read.option("basePath", folder).parquet(f"{folder}/round=*")
+    except AnalysisException:
+        return None
+    last = rows.agg({"round": "max"}).first()[0]
+    return None if last is None else (int(last), {bytes(r.token) for r in rows.where(F.col("round") == last).select("token").collect()})
+
+
 def train(docs: DataFrame, candidates: list[bytes], size: int, *, text: str = "text", capcode: int = 0, norm: int = 0, special: tuple[bytes, ...] = (), reserve: int = 0,
-          seed: int = 1, fast: bool = True, keep_trying: int = 3, max_rounds: int = 200, sample: float = 1.0) -> Trained:
+          seed: int = 1, fast: bool = True, keep_trying: int = 3, max_rounds: int = 200, sample: float = 1.0, folder: str | None = None, every: int = 10) -> Trained:
     """Distil `candidates` to `size` tokens.
 
     A round shuffles the candidates (by the seed), cuts up to TRIALS disjoint vocabularies, encodes the
@@ -98,6 +109,8 @@ def train(docs: DataFrame, candidates: list[bytes], size: int, *, text: str = "t
     removes the worst tokens of each. Once `size` candidates are left, rounds try the best vocabulary with
     a few tokens exchanged until `keep_trying` of them bring nothing. The driver holds the candidate list and
     the sums of a round; the corpus stays in its partitions. The same seed gives the same vocabulary.
+    folder: where every `every` rounds the candidates that are left are written as a table; a run that finds
+    such tables there goes on from the newest one.
     """
     corpus = strips(docs, text, norm, capcode).persist()
     total_bytes = corpus.agg(F.sum(F.length("bytes"))).first()[0] or 0
@@ -118,6 +131,9 @@ def train(docs: DataFrame, candidates: list[bytes], size: int, *, text: str = "t
         return corpus.where(F.pmod(F.xxhash64("bytes", F.lit(seed)), F.lit(1000)) < int(sample * 1000)) if many and sample < 1 else corpus
 
     rounds = 0
+    if folder and (saved := _newest(docs.sparkSession, folder)):
+        rounds, kept = saved
+        left = [t for t in left if t in kept]
     while len(left) > room and rounds < max_rounds:
         rounds += 1
         shuffled = left[:]
@@ -134,6 +150,8 @@ def train(docs: DataFrame, candidates: list[bytes], size: int, *, text: str = "t
         gone = set(sorted(gone, key=order_key)[: len(left) - room])
         left = [t for t in left if t not in gone]
         history.append((rounds, len(left), min(totals)))
+        if folder and rounds % every == 0:
+            docs.sparkSession.createDataFrame([(bytearray(t),) for t in left], "token binary").write.mode("overwrite").parquet(f"{folder}/round={rounds}")
     spare = sorted({c for c in candidates if len(c) > 1} - set(left), key=order_key)
     bad = 0
     trial = [left]
