@@ -63,7 +63,7 @@ def usable(df: DataFrame, id_col: str, vector: str, label: str) -> DataFrame:
     fine = F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(float("inf"))))
     norm = F.sqrt(F.aggregate(v, F.lit(0.0), lambda a, x: a + x * x))
     ok = F.col(vector).isNotNull() & F.coalesce(fine, F.lit(False)) & F.coalesce(F.exists(v, lambda x: x != 0), F.lit(False))
-    return df.where(ok & F.col(label).isNotNull()).select(F.col(id_col).alias("id"), F.col(label).alias("label"), v.alias("v"), norm.alias("norm"))
+    return df.where(ok & F.col(label).isNotNull() & F.col(id_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(label).alias("label"), v.alias("v"), norm.alias("norm"))
 
 
 def links(df: DataFrame, id_col: str = "vec_id", vector: str = "embedding", label: str = "label", least: float = 0.93, epsilon: float | None = None) -> tuple[DataFrame, DataFrame]:
@@ -190,10 +190,11 @@ def forest(i: np.ndarray, j: np.ndarray, n: int) -> list[tuple[int, int]]:
 
 def near_duplicates(df: DataFrame, id_col: str = "vec_id", vector: str = "embedding", label: str = "label", least: float = 0.93, epsilon: float | None = None) -> DataFrame:
     """(id, n_links, component_id, kept) for every row of df. Rows without a label or a usable vector link with
-    nothing. Repeated ids share their component."""
+    nothing; a row with a null id has a null component. Rows that repeat an id get the most links and the
+    least component of any of them. An empty table gives an empty result."""
     members, edges = links(df, id_col, vector, label, least, epsilon)
     comp = components(edges)
-    full = members.join(comp, F.col("rep") == F.col("node"), "left").select(F.col("id").alias("id_"), "n_links", F.coalesce("component", "rep").alias("component")).dropDuplicates(["id_"])
+    full = members.join(comp, F.col("rep") == F.col("node"), "left").select(F.col("id").alias("id_"), "n_links", F.coalesce("component", "rep").alias("component")).groupBy("id_").agg(F.max("n_links").alias("n_links"), F.min("component").alias("component"))
     rows = df.select(F.col(id_col).alias("id")).join(full, F.col("id") == F.col("id_"), "left")
     c = F.coalesce("component", "id")
     return rows.select("id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), c.alias("component_id"), (c == F.col("id")).alias("kept"))

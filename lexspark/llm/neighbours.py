@@ -111,7 +111,7 @@ def build(classes: DataFrame, k: int = K, rounds: int = ROUNDS, seed: int = 42)
         met = kept.join(info, F.col("m") == F.col("m_")).groupBy("p").agg(F.collect_list(F.struct(F.col("m").alias("id"), "code", "worst", "new")).alias("members")).where(F.exists("members", lambda x: x["new"]))
         found = met.select("members").mapInArrow(_local_join(GAIN, id_type), f"u {id_type}, c {id_type}, s float")
         graph = _merge(graph, found, k, id_type)
-        if graph.agg(F.sum(F.size(F.filter("new", lambda x: x)))).first()[0] < 0.002 * n * k:
+        if (graph.agg(F.sum(F.size(F.filter("new", lambda x: x)))).first()[0] or 0) < 0.002 * n * k:
             break
     return Index(nodes, graph, norm, 1 / 127)
 
