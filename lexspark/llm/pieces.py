@@ -4,11 +4,14 @@ from __future__ import annotations
 
 import hashlib
 import re
+import sys
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -16,8 +19,8 @@ from pyspark.sql import types as T
 from .common import fresh, table
 
 MARK = "▁"
-#: The table of a task is emptied beyond this many chunks; longer chunks are segmented where they stand.
-MOST_CHUNKS, LONGEST_CHUNK = 200_000, 96
+#: Beyond this many chunks the table of a task keeps only those in use; longer chunks are segmented where they stand.
+MOST_CHUNKS, LONGEST_CHUNK = 400_000, 96
 _CHUNK = re.compile(" +[^ ]*")
 
 
@@ -45,7 +48,7 @@ class ChunkTable:
             MARK in sp.id_to_piece(i).lstrip(MARK) for i in range(sp.vocab_size())
         )
         self.lead = next((i for i in range(sp.vocab_size()) if sp.id_to_piece(i) == "a"), None)
-        self.separable = self.separable and self.lead is not None and self.mark != sp.unk_id()
+        self.separable = self.separable and sys.byteorder == "little" and array("I").itemsize == 4 and self.lead is not None and self.mark != sp.unk_id()
         self.chunks: dict[str, tuple[bytes, str]] = {}
 
     def _segment(self, chunk: str) -> tuple[bytes, str] | None:
@@ -65,6 +68,23 @@ class ChunkTable:
                 self.chunks[chunk] = known
         return known
 
+    def learn(self, texts: list[str]) -> None:
+        """Segment the new chunks of several texts in one call of the library each way."""
+        if not self.separable:
+            return
+        met: set[str] = set()
+        for t in texts:
+            met.update(_CHUNK.findall(" " + t.replace(MARK, " ")))
+        new = [c for c in met if c not in self.chunks and 1 < len(c) <= LONGEST_CHUNK]
+        if len(self.chunks) + len(new) > MOST_CHUNKS:  # what these texts use stays
+            self.chunks = {c: self.chunks[c] for c in met if c in self.chunks}
+        rest = [c[1:] for c in new[:MOST_CHUNKS]]
+        joined = "".join(rest)
+        if joined and self.sp.normalize(joined) == MARK + joined.replace(" ", MARK):
+            ids = self.sp.encode(rest, num_threads=1)
+            back = self.sp.decode([[self.lead, *i] for i in ids], num_threads=1)
+            self.chunks.update((c, (array("I", i).tobytes(), c if c == d[1:] else d[1:])) for c, i, d in zip(new, ids, back, strict=False))
+
     def encode(self, text: str) -> tuple[bytes, str]:
         """(ids without begin and end as little-endian u32, the decoded text)."""
         if not text:
@@ -102,7 +122,9 @@ def encode(docs: DataFrame, text: str = "text", ids: str = "token_ids", model: s
         b, e = np.array([t.bos], dtype="<u4").tobytes(), np.array([t.eos], dtype="<u4").tobytes()
         for batch in batches:
             for part in _slices(batch, text):
-                packed = [b + t.encode(x)[0] + e if ends else t.encode(x)[0] for x in _texts(part, text)]
+                texts = _texts(part, text)
+                t.learn(texts)
+                packed = [b + t.encode(x)[0] + e if ends else t.encode(x)[0] for x in texts]
                 offsets = np.concatenate([[0], np.cumsum([len(p) // 4 for p in packed])]).astype(np.int32)
                 values = pa.array(np.frombuffer(b"".join(packed), dtype="<u4").astype(np.int32))
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.ListArray.from_arrays(pa.array(offsets), values)], names=[*part.schema.names, ids])
@@ -113,7 +135,7 @@ def encode(docs: DataFrame, text: str = "text", ids: str = "token_ids", model: s
 def _slices(batch: pa.RecordBatch, text: str, most: int = 4_000_000) -> Iterator[pa.RecordBatch]:
     """Parts of a batch with about `most` bytes of text each, so long texts do not add up."""
     col = batch.column(batch.schema.get_field_index(text))
-    sizes = np.asarray(pa.compute.fill_null(pa.compute.binary_length(col), 0)) if len(col) else np.zeros(0)
+    sizes = np.asarray(pc.fill_null(pc.binary_length(col), 0)) if len(col) else np.zeros(0)
     cut, total = 0, 0
     for i, n in enumerate(sizes):
         total += int(n)
@@ -148,15 +170,18 @@ def digests(docs: DataFrame, id_col: str = "doc_id", text: str = "text", model:
         t = _table(model)
         b, e = np.array([t.bos], dtype="<u4").tobytes(), np.array([t.eos], dtype="<u4").tobytes()
         for batch in batches:
-            n, a, d = [], [], []
-            for x in batch.column(1):
-                ids, back = t.encode(x.as_py() or "")
-                n.append(len(ids) // 4 + 2)
-                a.append(hashlib.sha256(b + ids + e).hexdigest())
-                d.append(hashlib.sha256(back.encode()).hexdigest())
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(a, pa.string()), pa.array(d, pa.string())], names=out.names)
-
-    return docs.select(id_col, F.col(text).alias(fresh(docs, "__lx_text"))).mapInArrow(run, out)
+            for part in _slices(batch, column):
+                n, a, d, texts = [], [], [], _texts(part, column)
+                t.learn(texts)
+                for x in texts:
+                    ids, back = t.encode(x)
+                    n.append(len(ids) // 4 + 2)
+                    a.append(hashlib.sha256(b + ids + e).hexdigest())
+                    d.append(hashlib.sha256(back.encode()).hexdigest())
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(n, pa.int64()), pa.array(a, pa.string()), pa.array(d, pa.string())], names=out.names)
+
+    column = fresh(docs, "__lx_text")
+    return docs.select(id_col, F.col(text).alias(column)).mapInArrow(run, out)
 
 
 def op5_sentencepiece(spark, sf_dir: str) -> DataFrame:

@@ -25,4 +25,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_mixing": mixing.OP2_SQL, "op3_embeddings": embeddings.OP3_SQL, "op4_substrings": substrings.OP4_SQL}
+    return {"op2_mixing": mixing.OP2_SQL, "op3_embeddings": embeddings.OP3_SQL, "op4_substrings": substrings.OP4_SQL, "op6_secrets": secrets.OP6_SQL}

@@ -116,3 +116,25 @@ def op6_secrets(spark, sf_dir: str) -> DataFrame:
         written(F.sort_array(F.concat(base, F.coalesce("owned", F.array().cast("array<struct<start:int,kind_no:int,end:int>>"))))).alias("spans"),
         F.coalesce(F.size("owned"), F.lit(0)).cast("long").alias("n_owned"), F.coalesce("copied", F.lit(0)).cast("long").alias("n_copied"),
     )
+
+
+def _sql() -> str:
+    """The same in DuckDB: positions from the lengths of the texts between matches."""
+    parts = []
+    for no, (pattern, group, least) in enumerate(KINDS.values()):
+        p = pattern.replace("'", "''")
+        parts.append(f"SELECT doc_id, source, {no} AS no, {least} AS least, string_split_regex(t, '{p}') AS p, regexp_extract_all(t, '{p}', 0) AS m, regexp_extract_all(t, '{p}', {group}) AS v FROM t")
+    name = "['assign', 'access', 'hex', 'owned'][no + 1] || ':' || a || ':' || b, ',' ORDER BY a, no, b"
+    return f"""WITH t AS (SELECT doc_id, source, coalesce(text, '') AS t FROM documents), x AS ({' UNION ALL '.join(parts)}),
+s AS (SELECT *, unnest(range(1, len(m) + 1)) AS i FROM x WHERE len(m) > 0),
+f AS (SELECT doc_id, source, no, v[i] AS v, (list_sum(list_transform(p[1:i], lambda y: length(y))) + coalesce(list_sum(list_transform(m[1:i - 1], lambda y: length(y))), 0))::BIGINT AS a, length(m[i]) AS l FROM s WHERE length(v[i]) >= least),
+o AS (SELECT v, count(DISTINCT coalesce('=' || source, '')) AS n FROM f GROUP BY v),
+j AS (SELECT DISTINCT doc_id, no, a, a + l AS b, n, n <= {MOST_OWNERS} AND len(list_distinct(string_split(f.v, ''))) >= {LEAST_CHARACTERS} AND NOT regexp_matches(f.v, '{PLACEHOLDER}') AS owned FROM f JOIN o ON f.v = o.v),
+u AS (SELECT doc_id, no, a, b FROM j UNION ALL SELECT DISTINCT doc_id, 3, a, b FROM j WHERE owned),
+g AS (SELECT doc_id, count(*) FILTER (WHERE no = 0) AS n0, count(*) FILTER (WHERE no = 1) AS n1, count(*) FILTER (WHERE no = 2) AS n2, count(*) FILTER (WHERE no = 3) AS n3, string_agg({name}) AS spans, string_agg({name}) FILTER (WHERE no < 3) AS base FROM u GROUP BY doc_id),
+c AS (SELECT doc_id, count(*) FILTER (WHERE n > {MOST_OWNERS}) AS n FROM j GROUP BY doc_id)
+SELECT t.doc_id, coalesce(n0, 0)::BIGINT AS n_assign, coalesce(n1, 0)::BIGINT AS n_access, coalesce(n2, 0)::BIGINT AS n_hex, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans,
+  coalesce(n3, 0)::BIGINT AS n_owned, coalesce(c.n, 0)::BIGINT AS n_copied FROM t LEFT JOIN g ON g.doc_id = t.doc_id LEFT JOIN c ON c.doc_id = t.doc_id"""
+
+
+OP6_SQL = _sql()

@@ -80,11 +80,11 @@ class Kernel:
         h = self.one.spans(s1, at, at + self.anchor)
         per = self.window - self.anchor + 1
         view = np.lib.stride_tricks.sliding_window_view(h, per)
-        best = np.concatenate([view[i : i + 32768].argmin(axis=1) for i in range(0, n, 32768)]) + np.arange(n)
-        starts = np.concatenate([[0], np.flatnonzero(np.diff(best)) + 1])
+        best = np.concatenate([view[i : i + 32768].min(axis=1) for i in range(0, n, 32768)])
+        starts = np.concatenate([[0], np.flatnonzero(best[1:] != best[:-1]) + 1])
         counts = np.diff(np.concatenate([starts, [n]]))
         ends = starts + counts + self.window - 1
-        return h[best[starts]].view(np.int64), self.one.spans(s1, starts, ends).view(np.int64), self.two.spans(s2, starts, ends).view(np.int64), starts.astype(np.int32), counts.astype(np.int32)
+        return best[starts].view(np.int64), self.one.spans(s1, starts, ends).view(np.int64), self.two.spans(s2, starts, ends).view(np.int64), starts.astype(np.int32), counts.astype(np.int32)
 
     def windows(self, words: list[bytes], starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         s1, s2 = self.sums(words)
@@ -107,9 +107,9 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
     starts in a document with a smaller id. Ranges of one document may overlap.
 
     1. Every window of words is an edge of the De Bruijn graph of the corpus. Consecutive windows of a text
-       that share their anchor (the k-mer with the least hash in the window, leftmost) form a run, a
-       nonbranching path of up to window - k + 1 edges. Equal windows have equal anchors, so they are only
-       ever found in runs with the same anchor hash. About one row per 20 words leaves this pass.
+       that share their anchor (the least hash of a k-mer in the window) form a run, a nonbranching path of
+       edges; a stretch that repeats itself is one run, however long. Equal windows have equal anchors, so
+       they are only ever found in runs with the same anchor. About one row per 20 words leaves this pass.
     2. A join on the anchor hash keeps runs whose anchor is met in two documents or more.
     3. Equal runs (128-bit hash of all their words) are compacted to one class with its smallest id. In
        other documents of the class the whole run is covered.
@@ -146,26 +146,26 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
     classes = shared.groupBy("h1", "h2", "n").agg(F.min(F.struct("id", "key", "start")).alias("first"), F.first("anchor").alias("anchor"))
     classes = stored(classes, "run-classes")
     branch = classes.groupBy("anchor").agg(F.count("*").alias("c")).where("c > 1").select(F.col("anchor").alias("anchor_"))
-    open_ = classes.join(branch, F.col("anchor") == F.col("anchor_")).select("first.*", "h1", "h2", "n")
-    per = open_.groupBy("id", "key").agg(F.collect_list(F.struct("start", "n", "h1", "h2")).alias("runs"))
-    here = rows.join(per.select(F.col("id").alias("id_"), F.col("key").alias("key_"), "runs"), (F.col("id") == F.col("id_")) & (F.col("key") == F.col("key_"))).select("id", "text", "runs")
+    open_ = classes.join(branch, F.col("anchor") == F.col("anchor_")).select("first.*", "n")
+    per = open_.groupBy("id", "key").agg(F.collect_list(F.struct("start", "n")).alias("runs"))
+    here = rows.join(per.select(F.col("id").alias("id_"), F.col("key").alias("key_"), "runs"), (F.col("id") == F.col("id_")) & (F.col("key") == F.col("key_"))).select("id", "key", "text", "runs")
 
     def expand(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kernel = Kernel(window)
         for batch in batches:
-            for i, (t, r) in enumerate(zip(batch.column(1), batch.column(2), strict=True)):
-                start, n, h1, h2 = (np.asarray(r.values.field(k)) for k in range(4))
+            for i, (t, r) in enumerate(zip(batch.column(2), batch.column(3), strict=True)):
+                start, n = (np.asarray(r.values.field(k)) for k in range(2))
                 which = np.repeat(np.arange(len(n)), n)
                 offset = np.arange(len(which)) - np.repeat(np.cumsum(n) - n, n)
                 w1, w2 = kernel.windows(_words(t.as_py()), start[which] + offset)
-                ids = batch.column(0).slice(i, 1).take(pa.array(np.zeros(len(which), np.int64)))
-                yield pa.RecordBatch.from_arrays([ids, pa.array(w1), pa.array(w2), pa.array(h1[which]), pa.array(h2[which]), pa.array(n[which]), pa.array(offset.astype(np.int32))], names=["id", "w1", "w2", "h1", "h2", "n", "offset"])
+                same = pa.array(np.full(len(which), i, np.int64))
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(same), batch.column(1).take(same), pa.array(start[which]), pa.array(offset.astype(np.int32)), pa.array(w1), pa.array(w2)], names=["id", "key", "start", "offset", "w1", "w2"])
 
-    windows = stored(here.mapInArrow(expand, f"id {id_type}, w1 long, w2 long, h1 long, h2 long, n int, offset int"), "windows")
+    windows = stored(here.mapInArrow(expand, f"id {id_type}, key long, start int, offset int, w1 long, w2 long"), "windows")
     least = windows.groupBy("w1", "w2").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).where("lo < hi").select(F.col("w1").alias("w1_"), F.col("w2").alias("w2_"), "lo")
     late = windows.join(least, (F.col("w1") == F.col("w1_")) & (F.col("w2") == F.col("w2_"))).where("lo < id")
-    part = late.groupBy("h1", "h2", "n").agg(F.collect_set("offset").alias("offsets"))
-    judged = classes.join(part.withColumnsRenamed({"h1": "p1", "h2": "p2", "n": "pn"}), (F.col("h1") == F.col("p1")) & (F.col("h2") == F.col("p2")) & (F.col("n") == F.col("pn")), "left").select(
+    part = late.groupBy("id", "key", "start").agg(F.collect_set("offset").alias("offsets")).withColumnsRenamed({"id": "p_id", "key": "p_key", "start": "p_start"})
+    judged = classes.join(part, (F.col("first.id") == F.col("p_id")) & (F.col("first.key") == F.col("p_key")) & (F.col("first.start") == F.col("p_start")), "left").select(
         F.col("h1").alias("c1"), F.col("h2").alias("c2"), F.col("n").alias("cn"), F.col("first.id").alias("least"), "offsets"
     )
     whole = F.array(F.struct(F.col("start").alias("a"), (F.col("start") + F.col("n") + window - 1).alias("b")))

@@ -138,7 +138,7 @@ def rare(rows: Rows, least: int) -> np.ndarray:
     return np.bincount(rows.slots, minlength=SIZE) < least
 
 
-def fit_logistic(rows: Rows, y: np.ndarray, pairs: tuple[Rows, Rows] | None = None, fair: float = 1.0, weight: float = 5.0, epochs: int = 25, rate: float = 0.15, l2: float = 3e-3, least: int = 8, seed: int = 42) -> tuple[np.ndarray, float]:
+def fit_logistic(rows: Rows, y: np.ndarray, pairs: tuple[Rows, Rows] | None = None, fair: float = 1.0, weight: float = 3.0, epochs: int = 40, rate: float = 0.15, l2: float = 5e-3, least: int = 8, seed: int = 42) -> tuple[np.ndarray, float]:
     """Weights and bias of a logistic regression by AdaGrad; rows with label 1 count `weight` times.
 
     pairs: features of texts and of the same texts with their identity terms swapped. Each pair adds

@@ -46,11 +46,11 @@ class Toxicity:
         return float(1 / (1 + np.exp(-np.clip(float(self.weights[s] @ v) + self.bias, -30, 30))))
 
 
-def counterfactuals(words: list[str]) -> tuple[Rows, Rows] | None:
+def counterfactuals(words: list[str | None]) -> tuple[Rows, Rows] | None:
     """Feature rows of the texts that name a group, and of the same texts with the terms swapped."""
     f, a, b = WordFeatures(), [], []
     for x in words:
-        ws = set(x.split())
+        ws = set((x or "").split())
         if ws & SWAP.keys():
             a.append(f.of_words(ws))
             b.append(f.of_words({SWAP.get(w, w) for w in ws}))
@@ -59,7 +59,7 @@ def counterfactuals(words: list[str]) -> tuple[Rows, Rows] | None:
 
 def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", id_col: str = "doc_id", text: str = "text", fair: float = 1.0) -> Toxicity:
     """Fit on a bounded sample of labelled rows that are not held out. Without labels the score is constant."""
-    y, slots, values, words = sample(docs, labels, label, _features, id_col, text, words=True)
+    y, slots, values, words = sample(docs, labels, label, _features, id_col, text, words=frozenset(SWAP))
     return Toxicity(*fit_logistic(Rows(slots, values), y.astype(float), counterfactuals(words), fair))
 
 

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 #: Labelled documents that a classifier is fitted on at most, taken by the order of a hash of their id.
-SAMPLE = 8000
+SAMPLE = 6000
 
 
 def held_out(id_col: str):
@@ -18,8 +18,9 @@ def held_out(id_col: str):
     return F.coalesce(F.pmod(F.crc32(F.col(id_col).cast("string").cast("binary")), F.lit(4)) == 2, F.lit(False))
 
 
-def sample(docs: DataFrame, labels: DataFrame, label: str, features: Callable, id_col: str = "doc_id", text: str = "text", most: int = SAMPLE, words: bool = False):
-    """(labels, slots, values, word lists) of the training sample, on the driver.
+def sample(docs: DataFrame, labels: DataFrame, label: str, features: Callable, id_col: str = "doc_id", text: str = "text", most: int = SAMPLE, words: frozenset[str] = frozenset()):
+    """(labels, slots, values, word lists) of the training sample, on the driver. Word lists are those of the
+    texts that hold one of `words`; null for the others.
 
     At most `most` labelled ids, so the ids are broadcast and texts are not shuffled; features are computed
     on the executors. Null labels and ids are left out; of several labels of an id the largest holds.
@@ -34,7 +35,8 @@ def sample(docs: DataFrame, labels: DataFrame, label: str, features: Callable, i
         for batch in batches:
             got = [features(t.as_py()) for t in batch.column(2)]
             lists = lambda parts, kind: pa.array([p.tolist() for p in parts], pa.list_(kind))
-            w = pa.array([" ".join(sorted(words_of(t.as_py()))) if words else None for t in batch.column(2)], pa.string())
+            met = [words_of(t.as_py()) if words else set() for t in batch.column(2)]
+            w = pa.array([" ".join(sorted(m)) if m & words else None for m in met], pa.string())
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), lists([g[0] for g in got], pa.int32()), lists([g[1] for g in got], pa.float32()), w], names=["id", "y", "slots", "values", "words"])
 
     got = rows.mapInArrow(run, f"id {docs.schema[id_col].dataType.simpleString()}, y int, slots array<int>, values array<float>, words string")
