@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from itertools import product
 from math import comb
 
@@ -22,20 +22,26 @@ BLOCK = 1024
 SAMPLE = 4096
 
 
-def fingerprint(text: str | None, shingle: int = 3, seed: int = 42) -> int:
-    """The 64-bit SimHash of a text: lower-case A-Z, words, shingles with repeats, XXH64; majority per bit."""
+def shingle_hashes(text: str | None, shingle: int, seed: int = 42) -> np.ndarray:
+    """The XXH64 of every shingle, repeats included: lower-case A-Z, words; a text of fewer words is one shingle."""
     words = (text or "").encode().translate(_LOWER).split()  # bytes.split() splits at exactly \x20 and \x09-\x0D
     if not words:
-        return 0
+        return np.zeros(0, dtype=np.uint64)
     joined = b" ".join(words)
     n = max(1, len(words) - shingle + 1)
     if n == 1:
-        h = np.array([xxhash.xxh64_intdigest(joined, seed)], dtype=np.uint64)
-    else:
-        ends = np.cumsum([len(w) + 1 for w in words])
-        starts = [0, *ends[: n - 1].tolist()]
-        d = xxhash.xxh64_intdigest
-        h = np.array([d(joined[a:b], seed) for a, b in zip(starts, (ends[shingle - 1 :] - 1).tolist(), strict=True)], dtype=np.uint64)
+        return np.array([xxhash.xxh64_intdigest(joined, seed)], dtype=np.uint64)
+    ends = np.cumsum([len(w) + 1 for w in words])
+    starts = [0, *ends[: n - 1].tolist()]
+    d = xxhash.xxh64_intdigest
+    return np.array([d(joined[a:b], seed) for a, b in zip(starts, (ends[shingle - 1 :] - 1).tolist(), strict=True)], dtype=np.uint64)
+
+
+def fingerprint(text: str | None, shingle: int = 3, seed: int = 42) -> int:
+    """The 64-bit SimHash of a text: lower-case A-Z, words, shingles with repeats, XXH64; majority per bit."""
+    h = shingle_hashes(text, shingle, seed)
+    if not len(h):
+        return 0
     set_ = np.zeros(64, dtype=np.int64)
     for i in range(0, len(h), 8192):
         set_ += np.unpackbits(h[i : i + 8192].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
@@ -190,17 +196,23 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
     return rows.join(byfp, F.col("fp") == F.col("fp_")).drop("fp_")
 
 
-def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "text", radius: int = 3) -> DataFrame:
-    """docs with one row of each component: the one with the smallest (id, row hash); columns unchanged."""
+def keep_first(docs: DataFrame, id_col: str, grouped: Callable[[DataFrame, str], DataFrame]) -> DataFrame:
+    """docs with one row of each group: the one with the smallest (id, row hash); columns unchanged.
+    grouped: from docs with a row hash, and the name of that column, to rows (id, row hash, root)."""
     key, kept = fresh(docs, "__lx_row"), fresh(docs, "__lx_kept")
     hashed = docs.withColumn(key, F.xxhash64(*[F.col(f"`{c}`") for c, t in docs.dtypes if "map" not in t]))
-    groups = near_duplicates(hashed, id_col, text, radius, carry=(key,))
+    groups = grouped(hashed, key)
     first = groups.groupBy("root").agg(F.min(F.struct(F.col(id_col).isNull().alias("none"), F.col(id_col).alias("id"), F.col(key).alias("row"))).alias("first"))
     ids = checkpoint(first.select(F.col("first.id").alias(kept), F.col("first.row").alias(f"{kept}2")))
     one = hashed.join(ids, F.col(id_col).eqNullSafe(F.col(kept)) & (F.col(key) == F.col(f"{kept}2")), "left_semi")
     return one.dropDuplicates([id_col, key]).select(*docs.columns)
 
 
+def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "text", radius: int = 3) -> DataFrame:
+    """docs with one row of each component: the one with the smallest (id, row hash); columns unchanged."""
+    return keep_first(docs, id_col, lambda hashed, key: near_duplicates(hashed, id_col, text, radius, carry=(key,)))
+
+
 def op8_simhash(spark, sf_dir: str) -> DataFrame:
     rows = near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return rows.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
