@@ -46,15 +46,41 @@ def best(u: np.ndarray, c: np.ndarray, s: np.ndarray, k: int) -> np.ndarray:
     return order[rank < k]
 
 
+def encoded(x: np.ndarray) -> list[bytes]:
+    """A code of each row: its own scale in double precision, then 16 bits a component, so that no other row coarsens it."""
+    scale = np.maximum(np.abs(x).max(axis=1), 1e-300) / 32767
+    q = np.rint(x / scale[:, None]).astype(np.int16)
+    return [s.tobytes() + r.tobytes() for s, r in zip(scale, q, strict=True)]
+
+
+def decoded(codes: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """(scales, components in steps of 1/32767 of the row's largest) of codes."""
+    raw = np.frombuffer(b"".join(codes), np.uint8).reshape(len(codes), -1)
+    scale = np.ascontiguousarray(raw[:, :8]).view(np.float64)[:, 0] * 32767
+    return scale, np.ascontiguousarray(raw[:, 8:]).view(np.int16).astype(np.float32) / np.float32(32767)
+
+
+def closeness(codes: list[bytes]) -> np.ndarray:
+    """Minus the squared distances of the reduction below between all rows: the order of its cosines, but without
+    their loss of digits where all norms are far below the largest."""
+    scale, x = decoded(codes)
+    dot = (x @ x.T).astype(np.float64) * scale[:, None] * scale[None, :]
+    n = np.diag(dot)
+    a = np.sqrt(np.maximum(0, 1 - n))
+    rest = (n[:, None] - n[None, :]) / np.maximum(a[:, None] + a[None, :], 1e-150)
+    return -(n[:, None] + n[None, :] - 2 * dot + rest * rest)
+
+
 class Index:
-    """nodes: id, code (the unit vector of the reduction below, 8 bits a component); graph: id, nbs, scores.
+    """nodes: id, code (the vector over the largest norm, by `encoded`); graph: id, nbs, scores.
 
     Inner products become cosines by one more component: x -> (x, sqrt(M^2 - |x|^2)) / M with M the largest
-    norm, q -> (q, 0) / |q|. Equal vectors are one node, represented by their smallest id.
+    norm, q -> (q, 0) / |q|. The component is not stored: it follows from the norm. Equal vectors are one node,
+    represented by their smallest id.
     """
 
-    def __init__(self, nodes: DataFrame, graph: DataFrame, norm: float, step: float):
-        self.nodes, self.graph, self.norm, self.step = nodes, graph, norm, step
+    def __init__(self, nodes: DataFrame, graph: DataFrame, norm: float):
+        self.nodes, self.graph, self.norm = nodes, graph, norm
 
 
 def build(classes: DataFrame, k: int = K, rounds: int = ROUNDS, seed: int = 42) -> Index:
@@ -68,7 +94,7 @@ def build(classes: DataFrame, k: int = K, rounds: int = ROUNDS, seed: int = 42)
     """
     spark = classes.sparkSession
     top = classes.agg(F.count("*"), F.max(F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x)), F.max(F.size("v"))).first()
-    n, norm, dim = top[0], float(top[1] or 1.0) ** 0.5, (top[2] or 0) + 1
+    n, norm, dim = top[0], float(top[1] or 1.0) ** 0.5, top[2] or 1
     rng = np.random.default_rng(seed)
     bits = max(0, ceil(log2(max(1, n / BLOCK))))
     planes = [rng.standard_normal((dim, max(1, bits))).astype(np.float32) for _ in range(TABLES)]
@@ -80,12 +106,10 @@ def build(classes: DataFrame, k: int = K, rounds: int = ROUNDS, seed: int = 42)
             for i, r in enumerate(rows):
                 x[i, : len(r)] = r
             x /= norm
-            x[:, -1] = np.sqrt(np.maximum(0, 1 - (x[:, :-1] ** 2).sum(axis=1)))
-            q = np.rint(x * 127).astype(np.int8)
             cells = [((x @ p > 0) @ (1 << np.arange(p.shape[1]))).astype(np.int64) if bits else np.zeros(len(x), np.int64) for p in planes]
             cells = np.stack(cells, axis=1)
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array([r.tobytes() for r in q], pa.binary()), pa.FixedSizeListArray.from_arrays(pa.array(cells.ravel()), TABLES).cast(pa.list_(pa.int64()))],
+                [batch.column(0), pa.array(encoded(x), pa.binary()), pa.FixedSizeListArray.from_arrays(pa.array(cells.ravel()), TABLES).cast(pa.list_(pa.int64()))],
                 names=["id", "code", "cells"],
             )
 
@@ -95,7 +119,7 @@ def build(classes: DataFrame, k: int = K, rounds: int = ROUNDS, seed: int = 42)
     dealt = coded.select("id", "code", F.posexplode("cells").alias("t", "cell"))
     size = checkpoint(dealt.groupBy("t", "cell").agg(F.ceil(F.count("*") / (2 * BLOCK)).cast("int").alias("parts")).where("parts > 1")).withColumnsRenamed({"t": "t_", "cell": "cell_"})
     dealt = dealt.join(size, (F.col("t") == F.col("t_")) & (F.col("cell") == F.col("cell_")), "left")
-    groups = dealt.groupBy("t", "cell", F.pmod(F.xxhash64("id", "t"), F.coalesce("parts", F.lit(1))).alias("part")).agg(F.collect_list(F.struct("id", "code", F.lit(-2.0).cast("float").alias("worst"), F.lit(True).alias("new"))).alias("members"))
+    groups = dealt.groupBy("t", "cell", F.pmod(F.xxhash64("id", "t"), F.coalesce("parts", F.lit(1))).alias("part")).agg(F.collect_list(F.struct("id", "code", F.lit(float("-inf")).cast("float").alias("worst"), F.lit(True).alias("new"))).alias("members"))
     found = groups.select("members").mapInArrow(_local_join(k, id_type), f"u {id_type}, c {id_type}, s float")
     graph = _merge(nodes.select("id", F.array().cast(f"array<{id_type}>").alias("nbs"), F.array().cast("array<float>").alias("scores"), F.array().cast("array<boolean>").alias("new")), found, k, id_type)
     for _ in range(rounds):
@@ -103,7 +127,7 @@ def build(classes: DataFrame, k: int = K, rounds: int = ROUNDS, seed: int = 42)
         both = edges.select(F.col("id").alias("p"), F.col("nbs").alias("m"), "new").unionByName(edges.select(F.col("nbs").alias("p"), F.col("id").alias("m"), "new"))
         both = both.groupBy("p", "m").agg(F.max("new").alias("new"))
         hubs = both.groupBy("p").count().where(F.col("count") > MEMBERS).select(F.col("p").alias("p_"), "count")
-        worst = graph.select(F.col("id").alias("m_"), F.when(F.size("scores") < k, F.lit(-2.0).cast("float")).otherwise(F.array_min("scores")).alias("worst"))
+        worst = graph.select(F.col("id").alias("m_"), F.when(F.size("scores") < k, F.lit(float("-inf")).cast("float")).otherwise(F.array_min("scores")).alias("worst"))
         info = nodes.withColumnRenamed("id", "n_").join(worst, F.col("n_") == F.col("m_")).select("m_", "code", "worst")
         kept = both.join(hubs, F.col("p") == F.col("p_"), "left").where(
             F.col("count").isNull() | (F.pmod(F.xxhash64("p", "m"), F.lit(1 << 20)) * F.col("count") < F.lit(MEMBERS << 20))
@@ -113,7 +137,7 @@ def build(classes: DataFrame, k: int = K, rounds: int = ROUNDS, seed: int = 42)
         graph = _merge(graph, found, k, id_type)
         if (graph.agg(F.sum(F.size(F.filter("new", lambda x: x)))).first()[0] or 0) < 0.002 * n * k:
             break
-    return Index(nodes, graph, norm, 1 / 127)
+    return Index(nodes, graph, norm)
 
 
 def _local_join(most: int, id_type: str):
@@ -126,17 +150,16 @@ def _local_join(most: int, id_type: str):
                 n = len(ids)
                 if n < 2:
                     continue
-                x = np.frombuffer(b"".join(codes.to_pylist()), np.int8).reshape(n, -1).astype(np.float32)
-                s = (x @ x.T) / np.float32(127 * 127)
+                s = closeness(codes.to_pylist()).astype(np.float32)
                 bad = ids[:, None] == ids[None, :]
                 if not new.all():
                     bad |= ~(new[:, None] | new[None, :])
-                s[bad] = -3
-                s[s <= worst[:, None]] = -3
+                s[bad] = -np.inf
+                s[s <= worst[:, None]] = -np.inf
                 m = min(most, n - 1)
                 part = np.argpartition(-s, m - 1, axis=1)[:, :m] if m < n else np.tile(np.arange(n), (n, 1))
                 val = np.take_along_axis(s, part, axis=1)
-                i, j = np.nonzero(val > -3)
+                i, j = np.nonzero(val > -np.inf)
                 us.append(ids[i])
                 cs.append(ids[part[i, j]])
                 ss.append(val[i, j])
@@ -181,23 +204,23 @@ def search(index: Index, queries: DataFrame, pool: int = POOL, hops: int = HOPS)
     id_type = index.nodes.schema["id"].dataType.simpleString()
     sample = index.nodes.orderBy(F.xxhash64("id"), "id").limit(ENTRIES).collect()
     names = np.array([r[0] for r in sample], dtype=np.int64)
-    codes = np.frombuffer(b"".join(bytes(r[1]) for r in sample), np.int8).reshape(len(sample), -1).astype(np.float32) if sample else np.zeros((0, 1), np.float32)
-    shared = spark.sparkContext.broadcast((names, codes))
+    scale, codes = decoded([bytes(r[1]) for r in sample]) if sample else (np.zeros(0), np.zeros((0, 1), np.float32))
+    shared = spark.sparkContext.broadcast((names, scale, codes))
 
     def vector(x, dim: int) -> np.ndarray:
-        v = np.asarray(x.values, dtype=np.float64)[: dim - 1]
-        return np.concatenate([v, np.zeros(dim - len(v))]).astype(np.float32) / np.float32(max(np.linalg.norm(v), 1e-300))
+        v = np.asarray(x.values, dtype=np.float64)[:dim]
+        return (np.concatenate([v, np.zeros(dim - len(v))]) / max(np.linalg.norm(v), 1e-300)).astype(np.float32)
 
     def start(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names, codes = shared.value
+        names, scale, codes = shared.value
         for batch in batches:
             ids, scores = [], []
             for v, own in zip(batch.column(1), batch.column(2), strict=True):
-                s = codes @ vector(v, codes.shape[1]) / 127
+                s = scale * (codes @ vector(v, codes.shape[1]))
                 at = np.argsort(-s)[:STARTS]
                 first = [own.as_py()] if own.is_valid else []
                 ids.append([*first, *[i for i in names[at].tolist() if i not in first]])
-                scores.append([1e9] * len(first) + [float(x) for i, x in zip(names[at].tolist(), s[at].tolist(), strict=True) if i not in first])
+                scores.append([float("inf")] * len(first) + [float(x) for i, x in zip(names[at].tolist(), s[at].tolist(), strict=True) if i not in first])
             done = [[False] * len(i) for i in ids]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(ids, pa.list_(pa.int64())), pa.array(scores, pa.list_(pa.float32())), pa.array(done, pa.list_(pa.bool_()))], names=["q", "qv", "ids", "scores", "done"])
 
@@ -220,8 +243,8 @@ def search(index: Index, queries: DataFrame, pool: int = POOL, hops: int = HOPS)
                 if got.is_valid and len(got.values):
                     new, code = np.asarray(got.values.field(0)), got.values.field(1)
                     fresh_ = ~np.isin(new, ids)
-                    x = np.frombuffer(b"".join(code.to_pylist()), np.int8).reshape(len(new), -1).astype(np.float32)
-                    s = x @ vector(qv, x.shape[1]) / 127
+                    scale, x = decoded(code.to_pylist())
+                    s = scale * (x @ vector(qv, x.shape[1]))
                     ids = np.concatenate([ids, new[fresh_]])
                     scores = np.concatenate([scores, s[fresh_]]).astype(np.float32)
                     done = np.concatenate([done, np.zeros(int(fresh_.sum()), bool)])
