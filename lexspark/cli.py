@@ -56,6 +56,7 @@ def main(argv: list[str] | None = None) -> int:
     t.add_argument("--tokens", required=True)
     t.add_argument("--size", type=int, required=True)
     t.add_argument("--seed", type=int, default=1)
+    t.add_argument("--keep-trying", type=int)
     t.add_argument("--folder")
     t.add_argument("--special")
     e = add["export"]
@@ -102,7 +103,7 @@ def main(argv: list[str] | None = None) -> int:
     elif a.what == "train":
         c = _read(a.tokens)
         special = tuple(s.encode() for s in corpus.read_special(spark, a.special)) if a.special else ()
-        done = train.train(docs, c.tokens, a.size, capcode=c.capcode, norm=c.norm, reserve=c.reserve or 8, special=special, seed=a.seed, folder=a.folder)
+        done = train.train(docs, c.tokens, a.size, capcode=c.capcode, norm=c.norm, reserve=c.reserve or 8, special=special, seed=a.seed, keep_trying=a.keep_trying, folder=a.folder)
         Path(a.output).write_bytes(token_file.dumps(token_file.of_vocab(done.vocab)))
         print(f"{done.tokens} tokens, {done.bytes_per_token:.3f} bytes per token, {len(done.vocab)} in the vocabulary")
     else:

@@ -101,17 +101,19 @@ def _newest(spark: SparkSession, folder: str) -> tuple[int, set[bytes]] | None:
 
 
 def train(docs: DataFrame, candidates: list[bytes], size: int, *, text: str = "text", capcode: int = 0, norm: int = 0, special: tuple[bytes, ...] = (), reserve: int = 0,
-          seed: int = 1, fast: bool = True, keep_trying: int = 3, max_rounds: int = 200, sample: float = 1.0, folder: str | None = None, every: int = 10) -> Trained:
+          seed: int = 1, fast: bool = True, keep_trying: int | None = None, max_rounds: int | None = None, sample: float = 1.0, folder: str | None = None, every: int = 10) -> Trained:
     """Distil `candidates` to `size` tokens.
 
     A round shuffles the candidates (by the seed), cuts up to TRIALS disjoint vocabularies, encodes the
     corpus (or, while there are many candidates, a hash sample of it) with all of them in one pass, and
     removes the worst tokens of each. Once `size` candidates are left, rounds try the best vocabulary with
-    a few tokens exchanged until `keep_trying` of them bring nothing. The driver holds the candidate list and
+    a few tokens exchanged until `keep_trying` of them in a row bring nothing (by default the reference's 1000, or 275
+    if `fast`). max_rounds bounds these exchanges only: the candidates are always reduced to `size`. The driver holds the candidate list and
     the sums of a round; the corpus stays in its partitions. The same seed gives the same vocabulary.
     folder: where every `every` rounds the candidates that are left are written as a table; a run that finds
     such tables there goes on from the newest one.
     """
+    keep_trying = (275 if fast else 1000) if keep_trying is None else keep_trying
     corpus = strips(docs, text, norm, capcode).persist()
     total_bytes = corpus.agg(F.sum(F.length("bytes"))).first()[0] or 0
     rng = random.Random(seed)
@@ -134,7 +136,7 @@ def train(docs: DataFrame, candidates: list[bytes], size: int, *, text: str = "t
     if folder and (saved := _newest(docs.sparkSession, folder)):
         rounds, kept = saved
         left = [t for t in left if t in kept]
-    while len(left) > room and rounds < max_rounds:
+    while len(left) > room:
         rounds += 1
         shuffled = left[:]
         rng.shuffle(shuffled)
@@ -155,7 +157,7 @@ def train(docs: DataFrame, candidates: list[bytes], size: int, *, text: str = "t
     spare = sorted({c for c in candidates if len(c) > 1} - set(left), key=order_key)
     bad = 0
     trial = [left]
-    while bad < keep_trying and rounds < max_rounds:
+    while bad < keep_trying and (best is None or max_rounds is None or rounds < max_rounds):
         rounds += 1
         trial = [t for t in trial if (h := hash(tuple(t))) not in tried and not tried.add(h)]
         if not trial:
