@@ -45,12 +45,8 @@ def is_space(r: str) -> bool:
 
 def runes(b: bytes) -> list[tuple[str, int]]:
     """(character, bytes) of a byte string; a byte that is not valid UTF-8 is one bad rune of length 1."""
-    try:
-        s = b.decode()
-        return [(c, 1 if c < "\x80" else len(c.encode())) for c in s]
-    except UnicodeDecodeError as e:
-        head = runes(b[: e.start])
-        return [*head, (BAD, 1), *runes(b[e.start + 1 :])]
+    s = b.decode("utf-8", "surrogateescape")
+    return [(c, 1) if c < "\x80" else (BAD, 1) if "\udc80" <= c <= "\udcff" else (c, len(c.encode())) for c in s]
 
 
 def incomplete_tail(b: bytes) -> int:

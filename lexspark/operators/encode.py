@@ -18,142 +18,272 @@ from ..functions.normalize import to_model
 from .vocab import Vocab
 
 _NO = -1_000_000
+#: The value that stands for the end of a text in a buffer of bytes, and the positions that are decided at once.
+END, WINDOW = 256, 1 << 16
+
+
+class Trie:
+    """All prefixes of the tokens as a hash table (state, byte) -> state that is asked for whole arrays at once."""
+
+    def __init__(self, tokens: list[bytes]):
+        states: dict[bytes, int] = {b"": 0}
+        keys: list[int] = []
+        for t in tokens:  # by length, so that shorter prefixes come first or are made here
+            at = 0
+            for n in range(1, len(t) + 1):
+                to = states.get(t[:n])
+                if to is None:
+                    to = states[t[:n]] = len(states)
+                    keys.append(at << 9 | t[n - 1])
+                at = to
+        self.token = np.full(len(states), -1, np.int64)
+        for k, t in enumerate(tokens):
+            self.token[states[t]] = k
+        self.space = states.get(b" ", -1)
+        self.bits = max(8, (4 * len(keys)).bit_length())
+        self.keys = np.full(1 << self.bits, -1, np.int64)
+        self.to = np.zeros(1 << self.bits, np.int64)
+        key, to = np.array(keys, np.int64), np.arange(1, len(keys) + 1)
+        slot = self._slot(key)
+        while len(key):  # linear probing, all keys at once: of those that want a place, one gets it
+            free = self.keys[slot] == -1
+            self.keys[slot[free]], self.to[slot[free]] = key[free], to[free]
+            left = self.keys[slot] != key
+            key, to, slot = key[left], to[left], (slot[left] + 1) & ((1 << self.bits) - 1)
+        one = np.arange(END + 1)
+        self.first = self.step(np.zeros(END + 1, np.int64), one)
+        pairs = np.repeat(self.first, END + 1)
+        self.second = np.full(len(pairs), -1, np.int64)
+        at = np.flatnonzero(pairs >= 0)
+        self.second[at] = self.step(pairs[at], at % (END + 1))
+
+    def _slot(self, key: np.ndarray) -> np.ndarray:
+        return (key.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(64 - self.bits)).astype(np.int64)
+
+    def step(self, state: np.ndarray, byte: np.ndarray) -> np.ndarray:
+        """The states after one more byte; -1 where no token goes on."""
+        key = state << 9 | byte
+        slot = self._slot(key)
+        got = self.keys[slot]
+        out = np.where(got == key, self.to[slot], -1)
+        left = np.flatnonzero((got != key) & (got != -1))
+        while len(left):
+            slot[left] = (slot[left] + 1) & ((1 << self.bits) - 1)
+            got = self.keys[slot[left]]
+            hit = got == key[left]
+            out[left[hit]] = self.to[slot[left[hit]]]
+            left = left[~hit & (got != -1)]
+        return out
+
+    def longest(self, data: np.ndarray, at: np.ndarray, state: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
+        """(entries or -1, lengths) of the longest tokens that go on from states of `depth` bytes at the places `at`."""
+        entry, length = np.full(len(at), -1, np.int64), np.zeros(len(at), np.int64)
+        live = np.flatnonzero(state >= 0)
+        state = state[live]
+        while len(live):
+            k = self.token[state]
+            hit = np.flatnonzero(k >= 0)
+            entry[live[hit]], length[live[hit]] = k[hit], depth
+            state = self.step(state, data[at[live]])
+            go = np.flatnonzero(state >= 0)
+            live, state, depth = live[go], state[go], depth + 1
+            at = at + 1
+        return entry, length
+
+    def everywhere(self, data: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+        """The same from the root at the first n places; the first two bytes are looked up in plain tables."""
+        one = self.first[data[:n]]
+        entry = np.where(one >= 0, self.token[one], -1)
+        length = (entry >= 0).astype(np.int64)
+        two = self.second[data[:n] * (END + 1) + data[1 : n + 1]]
+        live = np.flatnonzero(two >= 0)
+        k, m = self.longest(data, live + 2, two[live], 2)
+        hit = np.flatnonzero(k >= 0)
+        entry[live[hit]], length[live[hit]] = k[hit], m[hit]
+        return entry, length
 
 
 class Encoder:
-    """A compiled vocabulary: exact and longest-prefix lookup, and the six-branch encoder."""
+    """A compiled vocabulary: exact and longest-prefix lookup, and the six-branch encoder.
+
+    What is emitted at a place depends on the place and on whether its token borrowed a space, on nothing
+    before. So the decisions of all places of a window are computed as arrays; what is left of the sequential
+    part is a walk along the next places. Windows are a fixed number of bytes, whatever the texts are.
+    """
 
     def __init__(self, vocab: Vocab):
         self.vocab = vocab
         e = vocab.entries
         self.index = {x.token: i for i, x in enumerate(e)}
-        lengths: dict[bytes, set[int]] = {}
-        for t in self.index:
-            if len(t) >= 4:
-                lengths.setdefault(t[:4], set()).add(len(t))
-        #: lengths to probe after four given bytes, longest first; without an entry only 3, 2 and 1 are possible
-        self.probe = {p: tuple(sorted(n | {k for k in (1, 2, 3) if p[:k] in self.index}, reverse=True)) for p, n in lengths.items()}
-        self.ids = [x.id for x in e]
-        self.alts = [tuple((k, n) for k, n in ((x.alt, x.alt_len), (x.alt2, x.alt2_len)) if k is not None) for x in e]
-        self.whole = [bool(x.flag & S.WHOLE_WORD) for x in e]
-        begin = list(vocab.begin)
-        self.space = [b == S.BYTE_SPACE for b in begin]
-        self.letter = [b == S.BYTE_LETTER for b in begin]
+        self.trie = Trie([x.token for x in e])
+        col = lambda f, kind=np.int64: np.array([f(x) for x in e], kind)
+        self.ids = col(lambda x: x.id)
+        self.size = col(lambda x: len(x.token))
+        self.alts = [(col(lambda x: -1 if x.alt is None else x.alt), col(lambda x: x.alt_len)), (col(lambda x: -1 if x.alt2 is None else x.alt2), col(lambda x: x.alt2_len))]
+        self.flag = col(lambda x: x.flag & 255)
+        begin = np.frombuffer(vocab.begin + vocab.begin[:1], np.uint8).astype(np.int64)  # the end counts as a zero byte
+        self.space, self.letter = begin == S.BYTE_SPACE, begin == S.BYTE_LETTER
+        self.whole = (self.flag & S.WHOLE_WORD) > 0
+        words = col(lambda x: x.n_words)
         #: what a token adds to a score as the first one, without and with a borrowed space
-        self.lead = [tuple((x.flag >> 7) + max(0, x.n_words - b - 1) + 100 * (x.n_words - b) for b in (0, 1)) for x in e]
-        #: as the second one, and the same after a rescue, where a leading space earns nothing
-        self.tail = [(x.flag >> 7) + max(0, x.n_words - 1) + 100 * x.n_words + ((x.flag >> 2) & 1) for x in e]
-        self.bare = [t - ((x.flag >> 2) & 1) for t, x in zip(self.tail, e, strict=True)]
-        #: what the byte after the second token adds: by whether that token ends with a letter
-        self.next = [[((b >> 2) & 1) + 100 * (b >> 3) - 3 * (f & b) for b in begin] for f in (0, 1)]
-        self.ends = [x.flag & 1 for x in e]
-        self.ends_mark = [(x.flag >> 3) & 1 for x in e]
-        self.begins_letter = [(x.flag >> 1) & 1 for x in e]
-        self.begins_mark = [(x.flag >> 4) & 1 for x in e]
-        self.middle = [bool(x.flag & S.BEGINS_LETTER) and x.n_words == 0 for x in e]
+        self.lead = [(self.flag >> 7) + np.maximum(0, words - b - 1) + 100 * (words - b) for b in (0, 1)]
+        #: as the second one after a borrowed space, which earns nothing there; and else
+        self.bare = (self.flag >> 7) + np.maximum(0, words - 1) + 100 * words
+        self.tail = self.bare + ((self.flag >> 2) & 1)
+        #: what the byte after the second token adds, without and with a letter at the end of that token
+        self.next = np.concatenate([((begin >> 2) & 1) + 100 * (begin >> 3) - 3 * (f & begin) for f in (0, 1)])
+        f1, f2 = np.arange(256)[:, None], np.arange(256)[None, :]
+        #: what two flags in a row cost: without, and with a space that the second token borrows
+        marks = 100 * ((f1 >> 3) & (f2 >> 4) & 1)
+        self.cost = [(103 * (f1 & (f2 >> 1) & 1) + marks).ravel(), (103 * (f1 & 1) + marks + 1).ravel()]
+        self.middle = ((self.flag & S.BEGINS_LETTER) > 0) & (words == 0)
         self.marks = vocab.delete_id is not None
-        self.memo: dict[bytes, tuple[int, int] | bool] = {}
 
     def find(self, token: bytes) -> int | None:
         return self.index.get(token)
 
     def longest(self, data: bytes, i: int) -> tuple[int, int] | None:
         """(entry, length) of the longest entry that data has at i."""
-        key = data[i : i + self.vocab.max_len]
-        known = self.memo.get(key)
-        if known is None:
-            known = False
-            for n in self.probe.get(key[:4], (3, 2, 1)):
-                k = self.index.get(key[:n])
-                if k is not None:
-                    known = (k, min(n, len(key)))
-                    break
-            if len(self.memo) > 300_000:
-                self.memo.clear()
-            self.memo[key] = known
-        return known or None
+        for n in range(min(self.vocab.max_len, len(data) - i), 0, -1):
+            k = self.index.get(data[i : i + n])
+            if k is not None:
+                return k, n
+        return None
+
+    def _decide(self, data: np.ndarray, found: tuple[np.ndarray, np.ndarray], i: np.ndarray, k: np.ndarray, length: np.ndarray, borrowed: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(entries to emit, next places, whether the next token borrows a space) of the places i, whose tokens k
+        cover `length` bytes of the text."""
+        entry, size = found
+        out, to, lent = k.copy(), i + length, np.zeros(len(i), bool)
+        after = data[to]
+        at_ = np.flatnonzero((after != END) & ~(self.whole[k] & self.space[after]))
+        i, k, length = i[at_], k[at_], length[at_]
+        best, best_b = (np.full(len(i), _NO) for _ in range(2))
+        plain, rescue = (np.zeros((2, len(i)), np.int64) for _ in range(2))
+        for first_of, size_of in ((None, None), *self.alts):
+            if first_of is None:
+                which, first, covered = np.arange(len(i)), k, length
+            else:
+                which = np.flatnonzero(first_of[k] >= 0)
+                first, covered = first_of[k[which]], size_of[k[which]] - borrowed
+            at = i[which] + covered
+            second = entry[at]
+            ok = np.flatnonzero(second >= 0)
+            which, first, covered, at, second = which[ok], first[ok], covered[ok], at[ok], second[ok]
+
+            def score(which, first, covered, second, more, worth, kind, at):
+                total = covered + more
+                f2 = self.flag[second]
+                s = total + self.lead[borrowed][first] + worth[second] + self.next[(f2 & 1) * (END + 1) + data[at + more]] - self.cost[kind][self.flag[first] << 8 | f2]
+                if first_of is not None:
+                    s -= np.where(total < length[which], 100, np.where(total == length[which], 10000, 0))
+                return s
+
+            more = size[at]
+            s = score(which, first, covered, second, more, self.tail, 0, at)
+            up = np.flatnonzero(s > best[which])
+            best[which[up]] = s[up]
+            plain[:, which[up]] = first[up], at[up]
+            if self.marks and self.trie.space >= 0:
+                r = np.flatnonzero(self.middle[second] & self.letter[data[at + more]])
+                spaced, n = self.trie.longest(data, at[r], np.full(len(r), self.trie.space), 1)
+                ok = np.flatnonzero((spaced >= 0) & (n > more[r] + 1))
+                r, spaced, n = r[ok], spaced[ok], n[ok] - 1
+                s = score(which[r], first[r], covered[r], spaced, n, self.bare, 1, at[r])
+                up = np.flatnonzero(s > best_b[which[r]])
+                best_b[which[r[up]]] = s[up]
+                rescue[:, which[r[up]]] = first[r[up]], at[r[up]]
+        lends = best_b > best  # on equal scores the branches without an extra token come first
+        chosen = np.where(lends, rescue, plain)
+        go = np.flatnonzero((best > _NO) | lends)
+        out[at_[go]], to[at_[go]] = chosen[:, go]
+        lent[at_[go]] = lends[go]
+        return out, to, lent
+
+    def _window(self, data: np.ndarray, n: int, start: int, borrowed: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray, int, bool]:
+        """(places, entries or -1, whether the mark of a borrowed space follows, next place, whether it borrows) of the
+        walk from `start` over the first n places of data; further places are looked ahead at."""
+        m = self.vocab.max_len
+        found = self.trie.everywhere(data, n + m)
+        entry, size = found
+        at = np.flatnonzero(entry[:n] >= 0)
+        out, to, lent = np.full(n, -1), np.arange(1, n + 1), np.zeros(n, bool)
+        out[at], to[at], lent[at] = self._decide(data, found, at, entry[at], size[at], 0)
+        place, outs, tos, lents, n_states = [np.arange(n)], [out], [to], [lent], n
+        lender = np.full(n + m + 1, -1)  # the state of a place whose token borrows a space
+        new = np.unique(np.concatenate([to[lent], [start] if borrowed else np.zeros(0, np.int64)]).astype(np.int64))
+        while len(new := new[(new < n) & (lender[np.minimum(new, n)] < 0)]):
+            lender[new] = n_states + np.arange(len(new))
+            k, length = self.trie.longest(data, new, np.full(len(new), self.trie.space), 1)
+            o, t, b = self._decide(data, found, new, k, length - 1, 1)
+            place.append(new), outs.append(o), tos.append(t), lents.append(b)
+            n_states += len(new)
+            new = np.unique(t[b])
+        place, out, to, lent = (np.concatenate(x) for x in (place, outs, tos, lents))
+        leave = to >= n
+        step = np.where(lent, lender[np.minimum(to, n + m)], to)
+        step[leave] = -1
+        steps, path, s = step.tolist(), [], int(lender[start]) if borrowed else start
+        while s >= 0:
+            path.append(s)
+            s = steps[s]
+        p = np.array(path)
+        return place[p], out[p], lent[p], int(to[p[-1]]), bool(lent[p[-1]])
+
+    def encode_many(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """(ids of all texts, ends of each text in them, bytes without a token per text, and per byte value)."""
+        sizes = np.array([len(t) for t in texts], np.int64)
+        total, ahead = int(sizes.sum()) + len(texts), 2 * self.vocab.max_len + 2
+        data = np.full(total + ahead, END, np.uint16)
+        starts = np.cumsum(sizes + 1) - sizes - 1
+        for a, t in zip(starts.tolist(), texts, strict=True):
+            data[a : a + len(t)] = np.frombuffer(t, np.uint8)
+        unk, mark = -1 if self.vocab.unk is None else self.vocab.unk, self.vocab.delete_id
+        ids, per_text, missing, lost = [], np.zeros(len(texts) + 1, np.int64), np.zeros(len(texts), np.int64), np.zeros(256, np.int64)
+        at, borrowed, text = 0, False, 0
+        while at < total:
+            n = min(WINDOW, total - at)
+            part = data[at : at + n + ahead].astype(np.int64)
+            place, entry, lent, after, borrowed = self._window(part, n, 0, borrowed)
+            byte = part[place]
+            ends = byte == END
+            of = text + np.cumsum(ends) - ends
+            bad = (entry < 0) & ~ends
+            first = np.where(entry >= 0, self.ids[entry], np.where(bad, unk, -1))
+            each = np.stack([first, np.where(lent, mark if mark is not None else -1, -1)], axis=1)
+            keep = each >= 0
+            ids.append(each[keep].astype(np.int32))
+            per_text[1:] += np.bincount(of, keep.sum(axis=1), minlength=len(texts))[: len(texts)].astype(np.int64)
+            missing += np.bincount(of[bad], minlength=len(texts))[: len(texts)]
+            lost += np.bincount(byte[bad], minlength=256)[:256]
+            text, at = text + int(ends.sum()), at + after
+        return np.concatenate(ids) if ids else np.zeros(0, np.int32), np.cumsum(per_text), missing, lost
 
     def encode(self, data: bytes) -> tuple[list[int], int]:
         """(ids, bytes without a token)."""
-        ids, alts, longest, memo, m = self.ids, self.alts, self.longest, self.memo, self.vocab.max_len
-        lead, tail, bare, nxt, ends, ends_mark, begins_letter, begins_mark = self.lead, self.tail, self.bare, self.next, self.ends, self.ends_mark, self.begins_letter, self.begins_mark
-        whole, space, letter, middle, marks = self.whole, self.space, self.letter, self.middle, self.marks
-        n, unk, mark = len(data), self.vocab.unk, self.vocab.delete_id
-        data += b"\0"  # the byte after the end
-        text = data[:-1]
-        out: list[int] = []
-        missing = i = 0
-        borrowed = 0  # 1: the current token starts with a space that the text does not have
-        current = None
-        while i < n:
-            if current is None:
-                borrowed = 0
-                current = longest(text, i)
-                if current is None:
-                    if unk is not None:
-                        out.append(unk)
-                    i, missing = i + 1, missing + 1
-                    continue
-            k, length = current
-            after = i + length
-            best, choice = _NO, None
-            if after < n and not (whole[k] and space[data[after]]):
-                best_b, rescue = _NO, None
-                for first, size in ((k, length + borrowed), *alts[k]):
-                    at = i + size - borrowed
-                    second = memo.get(text[at : at + m])
-                    if second is None:
-                        second = longest(text, at)
-                    if not second:
-                        continue
-                    s, more = second
-                    total = size - borrowed + more
-                    nb = data[at + more]
-                    e1, base = ends[first], lead[first][borrowed]
-                    score = total + base + tail[s] + nxt[ends[s]][nb] - 103 * (e1 & begins_letter[s]) - 100 * (ends_mark[first] & begins_mark[s])
-                    other = first is not k
-                    if other and total <= length:
-                        score -= 10000 if total == length else 100
-                    if score > best:
-                        best, choice = score, (first, at, second, 0)
-                    if marks and middle[s] and letter[nb]:
-                        spaced = longest(b" " + text[at : at + m - 1], 0)
-                        if spaced is not None and spaced[1] > more + 1:
-                            s, more = spaced[0], spaced[1] - 1
-                            total = size - borrowed + more
-                            score = total + base + bare[s] + nxt[ends[s]][data[at + more]] - 103 * e1 - 100 * (ends_mark[first] & begins_mark[s]) - 1
-                            if other and total <= length:
-                                score -= 10000 if total == length else 100
-                            if score > best_b:
-                                best_b, rescue = score, (first, at, (s, more), 1)
-                if best_b > best:  # on equal scores the branches without an extra token come first
-                    choice = rescue
-            if choice is None:
-                out.append(ids[k])
-                i, current = after, None
-            else:
-                first, i, current, borrowed = choice
-                out.append(ids[first])
-                if borrowed:
-                    out.append(mark)
-        return out, missing
-
-    def greedy(self, data: bytes) -> list[int]:
-        """Plain longest match: a second, simpler implementation for comparisons."""
-        out, i = [], 0
-        while i < len(data):
-            m = self.longest(data, i)
-            if m is None:
-                i += 1
-            else:
-                out.append(self.ids[m[0]])
-                i += m[1]
-        return out
+        ids, _, missing, _ = self.encode_many([data])
+        return ids.tolist(), int(missing[0])
+
+    def model(self, text: str | bytes) -> bytes:
+        """Normalised and capcoded."""
+        raw = text.encode("utf-8", "surrogateescape") if isinstance(text, str) else bytes(text)
+        return to_model(raw, self.vocab.norm, self.vocab.capcode)
 
     def text(self, text: str | bytes) -> tuple[list[int], int]:
         """Normalise, capcode and encode."""
-        raw = text.encode("utf-8", "surrogateescape") if isinstance(text, str) else bytes(text)
-        return self.encode(to_model(raw, self.vocab.norm, self.vocab.capcode))
+        return self.encode(self.model(text))
+
+    def texts(self, column: pa.Array, most: int = 1 << 22) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """(ids, ends, missing) of an Arrow column of texts, in parts of about `most` bytes; null as empty."""
+        part, size = [], 0
+        for x in column:
+            part.append(b"" if not x.is_valid else self.model(x.as_py()))
+            size += len(part[-1])
+            if size >= most:
+                yield self.encode_many(part)[:3]
+                part, size = [], 0
+        if part:
+            yield self.encode_many(part)[:3]
 
 
 def serialize(ids: list[int] | np.ndarray, width: int) -> bytes:
@@ -196,11 +326,14 @@ def share(spark: SparkSession, vocab: Vocab) -> Broadcast:
 def tokenize(text: Column, shared: Broadcast) -> Column:
     """struct<tokens, n_tokens, missing> of a text or binary column; null: null."""
 
-    @F.pandas_udf(S.TOKENIZED)
-    def run(col: pd.Series) -> pd.DataFrame:
-        e = encoder_of(shared)
-        got = [e.text(x) if x is not None else None for x in col]
-        return pd.DataFrame({"tokens": [g and g[0] for g in got], "n_tokens": [None if g is None else len(g[0]) for g in got], "missing": [None if g is None else g[1] for g in got]}, dtype=object)
+    @F.arrow_udf(S.TOKENIZED)
+    def run(col: pa.Array) -> pa.Array:
+        parts = list(encoder_of(shared).texts(col))
+        counts = np.concatenate([np.diff(e) for _, e, _ in parts]) if parts else np.zeros(0, np.int64)
+        missing = np.concatenate([m for _, _, m in parts]) if parts else np.zeros(0, np.int64)
+        ids = pa.array(np.concatenate([i for i, _, _ in parts]) if parts else np.zeros(0, np.int32), pa.int32())
+        lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(counts)]).astype(np.int32)), ids)
+        return pa.StructArray.from_arrays([lists, pa.array(counts, pa.int32()), pa.array(missing, pa.int32())], names=["tokens", "n_tokens", "missing"], mask=col.is_null())
 
     return run(text)
 
@@ -208,10 +341,10 @@ def tokenize(text: Column, shared: Broadcast) -> Column:
 def count_tokens(text: Column, shared: Broadcast) -> Column:
     """Number of ids that tokenize() gives."""
 
-    @F.pandas_udf("int")
-    def run(col: pd.Series) -> pd.Series:
-        e = encoder_of(shared)
-        return pd.Series([None if x is None else len(e.text(x)[0]) for x in col], dtype="Int32")
+    @F.arrow_udf("int")
+    def run(col: pa.Array) -> pa.Array:
+        counts = np.concatenate([np.zeros(0, np.int64), *(np.diff(e) for _, e, _ in encoder_of(shared).texts(col))])
+        return pa.array(counts.astype(np.int32), mask=np.asarray(col.is_null()))
 
     return run(text)
 
@@ -219,11 +352,12 @@ def count_tokens(text: Column, shared: Broadcast) -> Column:
 def tokenize_serialized(text: Column, shared: Broadcast, width: int | None = None) -> Column:
     """Ids as packed bytes; width None: 2 bytes if all ids fit, else 3."""
 
-    @F.pandas_udf("binary")
-    def run(col: pd.Series) -> pd.Series:
+    @F.arrow_udf("binary")
+    def run(col: pa.Array) -> pa.Array:
         e = encoder_of(shared)
         w = width or e.vocab.id_bytes
-        return pd.Series([None if x is None else serialize(e.text(x)[0], w) for x in col], dtype=object)
+        out = [serialize(ids[a:b], w) for ids, ends, _ in e.texts(col) for a, b in zip(ends, ends[1:], strict=False)]
+        return pa.array([x if ok else None for x, ok in zip(out, col.is_valid().to_pylist(), strict=True)], pa.binary())
 
     return run(text)
 
@@ -251,45 +385,52 @@ def spans(df: DataFrame, text: str, shared: Broadcast, carry: list[str]) -> Data
         size = {i: len(t) for i, t in e.vocab.reverse.items()}
         for batch in batches:
             rows, pos, ids, start, length = [], [], [], [], []
-            for k, x in enumerate(batch.column(len(carry))):
-                at = gap = 0
-                for p, i in enumerate(e.text(x.as_py() or "")[0]):
-                    n = max(0, size.get(i, 1) - gap)
-                    gap = 0
-                    if i == e.vocab.delete_id:
-                        n, gap = 0, 1
+            each = [ids_[a:b].tolist() for ids_, ends, _ in e.texts(batch.column(len(carry))) for a, b in zip(ends, ends[1:], strict=False)]
+            for k, found in enumerate(each):
+                for p, (i, (a, n)) in enumerate(zip(found, places(found, size, e.vocab.delete_id), strict=True)):
                     rows.append(k)
                     pos.append(p)
                     ids.append(i)
-                    start.append(at)
+                    start.append(a)
                     length.append(n)
-                    at += n
             take = pa.array(rows, pa.int64())
             yield pa.RecordBatch.from_arrays([*[batch.column(c).take(take) for c in range(len(carry))], *[pa.array(v, pa.int32()) for v in (pos, ids, start, length)]], names=schema.names)
 
     return df.select(*carry, text).mapInArrow(run, schema)
 
 
+def places(ids: list[int], size: dict[int, int], delete_id: int | None) -> Iterator[tuple[int, int]]:
+    """(start, length) of each id in the normalised bytes: a borrowed space has no length."""
+    at = gap = 0
+    for i in ids:
+        n = 0 if i == delete_id else max(0, size.get(i, 1) - gap)
+        gap = int(i == delete_id)
+        yield at, n
+        at += n
+
+
 def spans_udtf(vocab: Vocab) -> UserDefinedTableFunction:
-    """token_spans(text) for SQL: rows (pos, id, len)."""
+    """token_spans(text) for SQL: rows (pos, id, start, len)."""
 
     class TokenSpans:
         def __init__(self):
             self.encoder = Encoder(vocab)
+            self.size = {i: len(t) for i, t in vocab.reverse.items()}
 
         def eval(self, text: str):
-            size = vocab.reverse
-            for p, i in enumerate(self.encoder.text(text or "")[0]):
-                yield p, i, len(size.get(i, b""))
+            ids = self.encoder.text(text or "")[0]
+            for p, (i, (start, n)) in enumerate(zip(ids, places(ids, self.size, vocab.delete_id), strict=True)):
+                yield p, i, start, n
 
-    return F.udtf(TokenSpans, returnType="pos int, id int, len int")
+    return F.udtf(TokenSpans, returnType="pos int, id int, start int, len int")
 
 
 def register(spark: SparkSession, vocab: Vocab, prefix: str = "") -> None:
-    """SQL functions of a vocabulary: tokenize, token_count, detokenize, token_spans, capcode_encode,
-    capcode_decode, nfd; and the views vocab_meta, vocab_tokens, vocab_deleted, vocab_info."""
+    """SQL functions of a vocabulary: tokenize, token_count, detokenize, token_spans, candidate_ok(token, look-ahead,
+    mode), capcode_encode, capcode_decode, nfd; and the views vocab_meta, vocab_tokens, vocab_deleted, vocab_info."""
     from ..functions import normalize as N
     from .decode import detokenize_udf
+    from .filters import Filter
 
     shared = share(spark, vocab)
 
@@ -303,7 +444,12 @@ def register(spark: SparkSession, vocab: Vocab, prefix: str = "") -> None:
         e = encoder_of(shared)
         return pd.Series([None if x is None else len(e.text(x)[0]) for x in col], dtype="Int32")
 
-    for name, f in {"tokenize": ids, "token_count": count, "detokenize": detokenize_udf(shared), "capcode_encode": N.capcode_encode, "capcode_decode": N.capcode_decode, "nfd": N.nfd}.items():
+    @F.pandas_udf("boolean")
+    def candidate_ok(token: pd.Series, ahead: pd.Series, mode: pd.Series) -> pd.Series:
+        rules = {m: Filter(m, vocab.capcode) for m in mode.dropna().unique()}
+        return pd.Series([None if t is None or m is None else rules[m](bytes(t), bytes(a or b"")) for t, a, m in zip(token, ahead, mode, strict=True)], dtype=object)
+
+    for name, f in {"tokenize": ids, "token_count": count, "detokenize": detokenize_udf(shared), "candidate_ok": candidate_ok, "capcode_encode": N.capcode_encode, "capcode_decode": N.capcode_decode, "nfd": N.nfd}.items():
         spark.udf.register(prefix + name, f)
     spark.udtf.register(prefix + "token_spans", spans_udtf(vocab))
     for name, df in zip(("vocab_meta", "vocab_tokens", "vocab_deleted", "vocab_info"), vocab.tables(spark), strict=True):
