@@ -18,8 +18,9 @@ from ..functions.normalize import to_model
 from .vocab import Vocab
 
 _NO = -1_000_000
-#: The value that stands for the end of a text in a buffer of bytes, and the positions that are decided at once.
-END, WINDOW = 256, 1 << 16
+#: The value that stands for the end of a text in a buffer of bytes, the places that are decided at once, and the
+#: most states for which all steps are kept in one plain table.
+END, WINDOW, DENSE = 256, 1 << 16, 1 << 15
 
 
 class Trie:
@@ -50,6 +51,10 @@ class Trie:
             self.keys[slot[free]], self.to[slot[free]] = key[free], to[free]
             left = self.keys[slot] != key
             key, to, slot = key[left], to[left], (slot[left] + 1) & ((1 << self.bits) - 1)
+        self.dense = None
+        if len(states) <= DENSE:
+            self.dense = np.full(len(states) << 9, -1, np.int32)
+            self.dense[np.array(keys, np.int64)] = np.arange(1, len(keys) + 1)
         one = np.arange(END + 1)
         self.first = self.step(np.zeros(END + 1, np.int64), one)
         pairs = np.repeat(self.first, END + 1)
@@ -63,6 +68,8 @@ class Trie:
     def step(self, state: np.ndarray, byte: np.ndarray) -> np.ndarray:
         """The states after one more byte; -1 where no token goes on."""
         key = state << 9 | byte
+        if self.dense is not None:
+            return self.dense[key]
         slot = self._slot(key)
         got = self.keys[slot]
         out = np.where(got == key, self.to[slot], -1)
@@ -79,14 +86,14 @@ class Trie:
         """(entries or -1, lengths) of the longest tokens that go on from states of `depth` bytes at the places `at`."""
         entry, length = np.full(len(at), -1, np.int64), np.zeros(len(at), np.int64)
         live = np.flatnonzero(state >= 0)
-        state = state[live]
+        state = state[live].astype(np.int64)
         while len(live):
             k = self.token[state]
             hit = np.flatnonzero(k >= 0)
             entry[live[hit]], length[live[hit]] = k[hit], depth
             state = self.step(state, data[at[live]])
             go = np.flatnonzero(state >= 0)
-            live, state, depth = live[go], state[go], depth + 1
+            live, state, depth = live[go], state[go].astype(np.int64), depth + 1
             at = at + 1
         return entry, length
 
