@@ -3,20 +3,18 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
-from itertools import product
-from math import comb
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .common import checkpoint, components, fresh, stored, table
 
 _LOWER = bytes(range(256)).translate(bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz"))
-#: Fingerprints in one block of a shard: two blocks are compared in one numpy call of 8 MB at most.
+#: Most fingerprints in one block of a shard, on average.
 BLOCK = 1024
 #: Fingerprints the driver looks at to choose vantage points: a fixed bound.
 SAMPLE = 4096
@@ -61,122 +59,124 @@ def fingerprints(docs: DataFrame, text: str = "text", out: str = "fp") -> DataFr
     return docs.mapInArrow(run, schema)
 
 
-# ---- the tree ---------------------------------------------------------------------------------------
+# ---- the trees --------------------------------------------------------------------------------------
 
+#: Levels of a tree: each looks at two bits of a half of the fingerprint, so a distance is 0, 1 or 2.
+LEVELS = 16
+_FIELDS = 0x55555555
 
-def level_masks(levels: int) -> list[int]:
-    """Disjoint bit blocks, one for each level of the tree."""
-    cuts = [round(64 * i / levels) for i in range(levels + 1)]
-    return [((1 << (b - a)) - 1) << a for a, b in zip(cuts, cuts[1:], strict=False)]
 
+def ball(levels: int, radius: int) -> list[int]:
+    """All offsets of packed distance vectors (two bits a level) whose absolute values sum to `radius` at most."""
+    found = {0: 0}
+    for i in range(levels):
+        found = {o + (d << 2 * i): n + abs(d) for o, n in found.items() for d in range(-radius, radius + 1) if n + abs(d) <= radius}
+    return sorted(found)
 
-def ball(levels: int, radius: int) -> list[tuple[int, ...]]:
-    """All offsets of distance vectors whose absolute values sum to `radius` at most."""
-    return [o for o in product(range(-radius, radius + 1), repeat=levels) if sum(map(abs, o)) <= radius]
 
+def vantage_points(sample: np.ndarray) -> list[int]:
+    """The vantage point of each half, of every two bits the value whose distances spread most over a sample."""
+    out = []
+    for half in (0, 32):
+        v = 0
+        for i in range(half, half + 2 * LEVELS, 2):
+            bits = (sample >> np.uint64(i)) & np.uint64(3)
+            spread = [sum(float(np.mean(np.bitwise_count(bits ^ np.uint64(x)) == d)) ** 2 for d in range(3)) for x in range(4)]
+            v |= int(np.argmin(spread)) << (i - half)
+        out.append(v)
+    return out
 
-def choose_tree(sample: np.ndarray, n: int, radius: int, seed: int = 42) -> tuple[list[int], list[int]]:
-    """(masks, vantage points) of the levels.
 
-    Level i splits by the Hamming distance to a vantage point on block i of the bits. The blocks are
-    disjoint, so by the triangle inequality the changes of the levels' distances between two fingerprints
-    add up to their distance at most: branches beyond a total of `radius` are pruned. More levels give
-    smaller shards and more boundary-overlapping ones; the depth with the least estimated work for n
-    fingerprints is taken. Of 16 candidates from the sample, a level's vantage point is the one whose
-    distances spread most.
-    """
-    rng = np.random.default_rng(seed)
-    best = None
-    for levels in range(1, 9):
-        masks, points, meet = level_masks(levels), [], 1.0
-        for m in masks:
-            options = [int(x) & m for x in rng.choice(sample, 8)] + [int(x) & m for x in rng.integers(0, 2**63, 8, dtype=np.uint64)]
-            scored = []
-            for v in options:
-                p = np.bincount(np.bitwise_count((sample & np.uint64(m)) ^ np.uint64(v)), minlength=65) / len(sample)
-                scored.append((float((p * p).sum()), v))
-            least = min(scored)
-            points.append(least[1])
-            meet *= least[0]
-        near = sum(comb(levels, k) * 2**k * comb(radius, k) for k in range(min(levels, radius) + 1))
-        work = near * (40 + n * meet)
-        if best is None or work < best[0]:
-            best = (work, masks, points)
-    return best[1], best[2]
-
-
-def shard_pairs(blocks: DataFrame, levels: int, radius: int) -> DataFrame:
+def shard_of(fp: Column, half: int, point: int) -> Column:
+    """The packed distances of one half of a fingerprint to its vantage point, level by level."""
+    x = F.shiftrightunsigned(fp, 32 * half).bitwiseAND(F.lit(0xFFFFFFFF)).bitwiseXOR(F.lit(point))
+    return x.bitwiseAND(F.lit(_FIELDS)) + F.shiftright(x, 1).bitwiseAND(F.lit(_FIELDS))
+
+
+def shard_pairs(blocks: DataFrame, radius: int) -> DataFrame:
     """Pairs of blocks whose shards overlap at a boundary: each shard meets itself and the shards ahead of it."""
-    ahead = [o for o in ball(levels, radius) if o > (0,) * levels]
-    offsets = F.array(*[F.array(*[F.lit(x) for x in o]) for o in ahead])
-    own = blocks.select("cell", "block", "fps")
-    to = own.select(
-        F.explode(F.concat(F.array(F.col("cell")), F.transform(offsets, lambda o: F.zip_with("cell", o, lambda a, b: a + b)))).alias("to"),
-        F.col("cell").alias("from_cell"), F.col("block").alias("from_block"), F.col("fps").alias("left"),
-    )
-    right = own.select(F.col("cell").alias("to"), F.col("block").alias("to_block"), F.col("fps").alias("right"))
-    same = F.col("from_cell") == F.col("to")
-    return to.join(right, "to").where(~same | (F.col("from_block") <= F.col("to_block"))).select("left", "right")
-
-
-def link_stars(left: np.ndarray, right: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
-    """Edges that join what two blocks link at up to `radius` bits: a forest, not all pairs."""
-    d = np.bitwise_count(left[:, None] ^ right[None, :]) <= radius
-    i, j = np.nonzero(d)
-    a, b = left[i], right[j]
-    keep = a != b
-    a, b = a[keep], b[keep]
-    if len(a) <= len(left) + len(right):
+    ahead = F.array(*[F.lit(o).cast("long") for o in ball(LEVELS, radius // 2) if o > 0])
+    inside = lambda c: (c >= 0) & (c.bitwiseAND(F.shiftright(c, 1)).bitwiseAND(F.lit(_FIELDS)) == 0)  # noqa: E731  no distance is 3
+    reach = F.filter(F.transform(ahead, lambda o: F.col("shard") + o), inside)
+    to = blocks.select("tree", F.explode(F.concat(F.array("shard"), reach)).alias("to"), F.col("shard").alias("from"), F.col("block").alias("from_block"), F.col("fps").alias("left"))
+    to = to.where((F.col("from") != F.col("to")) | (F.size("left") > 1) | (F.col("from_block") >= 0))
+    right = blocks.select(F.col("tree").alias("tree_"), F.col("shard").alias("shard_"), F.col("block").alias("to_block"), F.col("fps").alias("right"))
+    met = to.join(right, (F.col("tree") == F.col("tree_")) & (F.col("to") == F.col("shard_")))
+    return met.where((F.col("from") != F.col("to")) | (F.col("from_block") <= F.col("to_block"))).select("left", "right")
+
+
+def link_forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of many links, a spanning forest."""
+    nodes, at = np.unique(np.concatenate([a, b]), return_inverse=True)
+    if len(a) <= len(nodes):
         return a, b
-    top: dict[int, int] = {}
+    top = list(range(len(nodes)))
 
     def find(x: int) -> int:
-        while (y := top.setdefault(x, x)) != x:
-            top[x] = x = top.setdefault(y, y)
+        while top[x] != x:
+            top[x] = x = top[top[x]]
         return x
 
-    out = []
-    for x, y in zip(a.tolist(), b.tolist(), strict=True):
-        if (p := find(x)) != (q := find(y)):
+    keep = []
+    for i, (x, y) in enumerate(zip(at[: len(a)].tolist(), at[len(a) :].tolist(), strict=True)):
+        p, q = find(x), find(y)
+        if p != q:
             top[max(p, q)] = min(p, q)
-            out.append((x, y))
-    return np.array([x for x, _ in out], dtype=np.uint64), np.array([y for _, y in out], dtype=np.uint64)
+            keep.append(i)
+    return a[keep], b[keep]
+
+
+def compare(left: pa.ListArray, right: pa.ListArray, radius: int, most: int = 1 << 21) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Links between the fingerprints of each two lists, as forests; about `most` pairs are looked at a time."""
+    l, r = (np.asarray(x.flatten()).view(np.uint64) for x in (left, right))
+    nl, nr = (np.asarray(x.value_lengths()).astype(np.int64) for x in (left, right))
+    al, ar = np.cumsum(nl) - nl, np.cumsum(nr) - nr
+    ends = np.cumsum(nl * nr)
+    i = 0
+    while i < len(nl):
+        j = max(i + 1, int(np.searchsorted(ends, (ends[i - 1] if i else 0) + most, side="right")))
+        # one row for each element of a left list, then its right list
+        rows = np.repeat(np.arange(i, j), nl[i:j])
+        x = l[np.arange(len(rows)) - np.repeat(np.cumsum(nl[i:j]) - nl[i:j], nl[i:j]) + al[rows]]
+        each = nr[rows]
+        at = np.arange(int(each.sum())) - np.repeat(np.cumsum(each) - each, each) + np.repeat(ar[rows], each)
+        a, b = np.repeat(x, each), r[at]
+        near = (np.bitwise_count(a ^ b) <= radius) & (a != b)
+        if near.any():
+            yield link_forest(a[near], b[near])
+        i = j
 
 
 def fingerprint_links(distinct: DataFrame, radius: int = 3) -> DataFrame:
     """(a, b): edges between distinct fingerprints (column fp) whose components are those of all pairs at up
-    to `radius` differing bits. Exact: a pruned branch cannot hold a pair."""
+    to `radius` differing bits.
+
+    Two vantage-point trees, one for each half of the bits: of two fingerprints within `radius`, one half is
+    within radius // 2. Every level of a tree partitions by the Hamming distance to the vantage point on two
+    bits of its half. The bits of the levels are disjoint, so by the triangle inequality the changes of the
+    distances add up to the distance of the halves at most: branches beyond a total of radius // 2 are pruned,
+    and a shard is queried from itself and the shards at its boundary. What is pruned cannot hold a pair, so
+    the links are exact. A tree has 3^16 leaves at any size; leaves with more than BLOCK fingerprints are cut by
+    a hash, and their blocks meet one another.
+    """
     spark = distinct.sparkSession
-    n = distinct.count()
     sample = np.array([r[0] for r in distinct.orderBy(F.xxhash64("fp")).limit(SAMPLE).collect()], dtype=np.int64).view(np.uint64)
-    empty = spark.createDataFrame([], "a long, b long")
-    if n < 2:
-        return empty
-    masks, points = choose_tree(sample, n, radius)
-    signed = lambda x: x - (1 << 64) if x >= 1 << 63 else x
-    cell = F.array(*[F.bit_count(F.col("fp").bitwiseAND(F.lit(signed(m))).bitwiseXOR(F.lit(signed(v)))).cast("int") for m, v in zip(masks, points, strict=True)])
-    cells = distinct.select("fp", cell.alias("cell"))
-    per = cells.groupBy("cell").count().select("cell", F.ceil(F.col("count") / BLOCK).cast("int").alias("n"))
-    big = checkpoint(per.where("n > 1"))
-    # a shard with more than a block is cut by a hash before its fingerprints are gathered
-    right = big.select(F.col("cell").alias("cell_"), F.col("n").alias("n_"))
-    cut = cells.join(right, F.col("cell") == F.col("cell_"), "left").select("cell", "fp", F.pmod(F.xxhash64("fp"), F.coalesce("n_", F.lit(1))).cast("int").alias("block"))
-    blocks = stored(cut.groupBy("cell", "block").agg(F.collect_list("fp").alias("fps")), "vp-blocks")
-
-    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    if not len(sample):
+        return spark.createDataFrame([], "a long, b long")
+    trees = F.array(*[F.struct(F.lit(k).alias("tree"), shard_of(F.col("fp"), k, v).alias("shard")) for k, v in enumerate(vantage_points(sample))])
+    placed = distinct.select("fp", F.inline(trees))
+    big = checkpoint(placed.groupBy("tree", "shard").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("n")).where("n > 1")).withColumnsRenamed({"tree": "tree_", "shard": "shard_"})
+    # a shard with more than a block is cut by a hash before its fingerprints are gathered; an uncut one has block -1
+    cut = placed.join(big, (F.col("tree") == F.col("tree_")) & (F.col("shard") == F.col("shard_")), "left")
+    cut = cut.select("tree", "shard", "fp", F.coalesce(F.pmod(F.xxhash64("fp"), F.col("n")), F.lit(-1)).cast("int").alias("block"))
+    blocks = stored(cut.groupBy("tree", "shard", "block").agg(F.collect_list("fp").alias("fps")), "vp-blocks")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            a, b = [], []
-            for x, y in zip(batch.column(0), batch.column(1), strict=True):
-                l, r = (np.asarray(v.values).view(np.uint64) for v in (x, y))
-                for k in range(0, len(l), 256):
-                    for m in range(0, len(r), 4096):
-                        p, q = link_stars(l[k : k + 256], r[m : m + 4096], radius)
-                        a.append(p)
-                        b.append(q)
-            if a:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(v).view(np.int64)) for v in (a, b)], names=["a", "b"])
-
-    return shard_pairs(blocks, len(masks), radius).mapInArrow(compare, "a long, b long")
+            for a, b in compare(batch.column(0), batch.column(1), radius):
+                yield pa.RecordBatch.from_arrays([pa.array(v.view(np.int64)) for v in (a, b)], names=["a", "b"])
+
+    return shard_pairs(blocks, radius).mapInArrow(run, "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "text", radius: int = 3, carry: tuple[str, ...] = ()) -> DataFrame:
