@@ -13,8 +13,8 @@ KINDS = {
     "access": (r"(AKIA[A-Z0-9]+)", 1, 20),
     "hex": (r"([0-9a-f]{24,})", 1, 24),  # runs are maximal, so shorter runs cannot hide a longer one
 }
-#: A value seen with more owners than this is a widely copied example.
-MOST_OWNERS = 1
+#: A value seen with more owners than this, or in more repositories, is a widely copied example.
+MOST_OWNERS, MOST_REPOSITORIES = 1, 100
 #: A live-looking value has at least so many distinct characters and none of these marks.
 LEAST_CHARACTERS = 6
 PLACEHOLDER = r"(?i)example|sample|changeme|placeholder|dummy|xxxx|your[_-]?|12345678"
@@ -53,8 +53,10 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text: str = "text", owner: str
     found: id, key (hash of text and owner), found (array of base spans with the SHA-256 of the value).
     owned: id, key, owned (array of spans), copied (number of spans whose value is a widely copied example).
     The frequency of a value is the number of distinct owners and repositories that hold it anywhere in
-    the corpus; values are carried as hashes. Copies are aggregated before the shuffle. Null texts have
-    no spans; a null owner or repository counts as one owner or repository.
+    the corpus: more than MOST_OWNERS owners or more than MOST_REPOSITORIES repositories make it a widely copied
+    example, whoever owns them. Values are carried as hashes. Copies are aggregated before the shuffle. Null and
+    empty texts have no spans; a null owner or repository counts as one owner or repository. Repeated rows count
+    once and get equal results; other columns are not looked at.
     """
     t = F.coalesce(F.col(text), F.lit(""))
     every = F.concat(*[spans_of(t, k) for k in KINDS])
@@ -71,10 +73,11 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text: str = "text", owner: str
     owners = each.groupBy("hash", name("owner").alias("who")).agg(F.lit(1).alias("one")).groupBy("hash").agg(F.count("one").alias("n_owners"))
     repositories = each.groupBy("hash", name("repository").alias("what")).agg(F.lit(1).alias("one")).groupBy("hash").agg(F.count("one").alias("n_repositories"))
     often = owners.join(repositories, "hash")
-    judged = each.join(often, "hash").withColumn("owned", F.col("live") & (F.col("n_owners") <= MOST_OWNERS))
+    often = often.select("hash", ((F.col("n_owners") > MOST_OWNERS) | (F.col("n_repositories") > MOST_REPOSITORIES)).alias("wide"))
+    judged = each.join(often, "hash").withColumn("owned", F.col("live") & ~F.col("wide"))
     owned = judged.groupBy("id", "key").agg(
         F.sort_array(F.collect_set(F.when(F.col("owned"), F.struct("start", F.lit(len(KINDS)).alias("kind_no"), "end")))).alias("owned"),
-        F.sum((F.col("n_owners") > MOST_OWNERS).cast("int")).alias("copied"),
+        F.sum(F.col("wide").cast("int")).alias("copied"),
     )
     return found, owned
 
@@ -88,6 +91,8 @@ def redact(docs: DataFrame, id_col: str = "doc_id", text: str = "text", owner: s
     """docs with every owner-specific live-looking credential replaced by `mask`; widely copied examples stay.
 
     Only rows that hold such a credential take part in a join; the others pass by. All rows and columns stay.
+    Null and empty texts stay as they are; overlapping spans are masked once; repeated rows are masked alike;
+    temporary columns avoid the names in docs.
     """
     _, owned = scan(docs, id_col, text, owner, id_col)
     spans, k, key, i = fresh(docs, "__lx_spans"), fresh(docs, "__lx_id"), fresh(docs, "__lx_key"), fresh(docs, "__lx_key2")
@@ -128,11 +133,11 @@ def _sql() -> str:
     return f"""WITH t AS (SELECT doc_id, source, coalesce(text, '') AS t FROM documents), x AS ({' UNION ALL '.join(parts)}),
 s AS (SELECT *, unnest(range(1, len(m) + 1)) AS i FROM x WHERE len(m) > 0),
 f AS (SELECT doc_id, source, no, v[i] AS v, (list_sum(list_transform(p[1:i], lambda y: length(y))) + coalesce(list_sum(list_transform(m[1:i - 1], lambda y: length(y))), 0))::BIGINT AS a, length(m[i]) AS l FROM s WHERE length(v[i]) >= least),
-o AS (SELECT v, count(DISTINCT coalesce('=' || source, '')) AS n FROM f GROUP BY v),
-j AS (SELECT DISTINCT doc_id, no, a, a + l AS b, n, n <= {MOST_OWNERS} AND len(list_distinct(string_split(f.v, ''))) >= {LEAST_CHARACTERS} AND NOT regexp_matches(f.v, '{PLACEHOLDER}') AS owned FROM f JOIN o ON f.v = o.v),
+o AS (SELECT v, count(DISTINCT coalesce('=' || source, '')) > {MOST_OWNERS} OR count(DISTINCT coalesce('=' || doc_id, '')) > {MOST_REPOSITORIES} AS wide FROM f GROUP BY v),
+j AS (SELECT DISTINCT doc_id, no, a, a + l AS b, wide, NOT wide AND len(list_distinct(string_split(f.v, ''))) >= {LEAST_CHARACTERS} AND NOT regexp_matches(f.v, '{PLACEHOLDER}') AS owned FROM f JOIN o ON f.v = o.v),
 u AS (SELECT doc_id, no, a, b FROM j UNION ALL SELECT DISTINCT doc_id, 3, a, b FROM j WHERE owned),
 g AS (SELECT doc_id, count(*) FILTER (WHERE no = 0) AS n0, count(*) FILTER (WHERE no = 1) AS n1, count(*) FILTER (WHERE no = 2) AS n2, count(*) FILTER (WHERE no = 3) AS n3, string_agg({name}) AS spans, string_agg({name}) FILTER (WHERE no < 3) AS base FROM u GROUP BY doc_id),
-c AS (SELECT doc_id, count(*) FILTER (WHERE n > {MOST_OWNERS}) AS n FROM j GROUP BY doc_id)
+c AS (SELECT doc_id, count(*) FILTER (WHERE wide) AS n FROM j GROUP BY doc_id)
 SELECT t.doc_id, coalesce(n0, 0)::BIGINT AS n_assign, coalesce(n1, 0)::BIGINT AS n_access, coalesce(n2, 0)::BIGINT AS n_hex, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans,
   coalesce(n3, 0)::BIGINT AS n_owned, coalesce(c.n, 0)::BIGINT AS n_copied FROM t LEFT JOIN g ON g.doc_id = t.doc_id LEFT JOIN c ON c.doc_id = t.doc_id"""
 

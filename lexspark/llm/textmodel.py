@@ -57,9 +57,11 @@ def words_of(text: str | None) -> set[str]:
 
 
 def _shape(token: str) -> str:
-    """Classes of characters with runs collapsed: 'Word,' -> 'Aa,', '12%' -> '0%'."""
-    kinds = ("A" if c.isupper() else "a" if c.isalpha() else "0" if c.isdigit() else c for c in token[:200])
-    return "".join(k for k, _ in groupby(kinds))[:12]
+    """Classes of all characters with runs collapsed: 'Word,' -> 'Aa,', '12%' -> '0%'; a shape of more than 24
+    classes is named by its hash."""
+    kinds = ("A" if c.isupper() else "a" if c.isalpha() else "0" if c.isdigit() else c for c in token)
+    shape = "".join(k for k, _ in groupby(kinds))
+    return shape if len(shape) <= 24 else f"#{zlib.crc32(shape.encode('utf-8', 'surrogatepass')):08x}"
 
 
 class ShapeFeatures:
