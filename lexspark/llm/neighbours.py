@@ -28,11 +28,6 @@ def usable(vector: str) -> tuple[Column, Column]:
     return v, F.col(vector).isNotNull() & F.coalesce(fine, F.lit(False)) & F.coalesce(F.exists(v, lambda x: x != 0), F.lit(False))
 
 
-def _matrix(lists) -> np.ndarray:
-    """Rows of equal length from a list array, as float32."""
-    return np.asarray(lists.flatten(), dtype=np.float32).reshape(len(lists), -1) if len(lists) else np.zeros((0, 0), np.float32)
-
-
 def best(u: np.ndarray, c: np.ndarray, s: np.ndarray, k: int) -> np.ndarray:
     """Positions of the k best distinct candidates c of each u (by score, ties to the smaller id)."""
     order = np.lexsort((c, -s, u))
@@ -87,8 +82,8 @@ def build(classes: DataFrame, k: int = K, rounds: int = ROUNDS, seed: int = 42)
     """NN-descent over (id, v): distinct usable vectors.
 
     Random projections deal the nodes into blocks of about BLOCK, whose exact neighbours are the first
-    lists. In a round, every node is the pivot of a local join: its neighbours and reverse neighbours (all
-    of them up to MEMBERS, then a hash sample, so no hub gathers an unbounded group) meet each other, and
+    lists. In a round, every node is the pivot of a local join: its neighbours and reverse neighbours (of the
+    latter all up to MEMBERS, then a hash sample, so no hub gathers an unbounded group) meet each other, and
     what improves on a list is sent to it. Pairs of which both were there in the last round are skipped.
     Rounds end when fewer than 0.2 % of the list entries change.
     """
@@ -124,14 +119,11 @@ def build(classes: DataFrame, k: int = K, rounds: int = ROUNDS, seed: int = 42)
     graph = _merge(nodes.select("id", F.array().cast(f"array<{id_type}>").alias("nbs"), F.array().cast("array<float>").alias("scores"), F.array().cast("array<boolean>").alias("new")), found, k, id_type)
     for _ in range(rounds):
         edges = graph.select("id", F.inline(F.arrays_zip("nbs", "new")))
-        both = edges.select(F.col("id").alias("p"), F.col("nbs").alias("m"), "new").unionByName(edges.select(F.col("nbs").alias("p"), F.col("id").alias("m"), "new"))
-        both = both.groupBy("p", "m").agg(F.max("new").alias("new"))
-        hubs = both.groupBy("p").count().where(F.col("count") > MEMBERS).select(F.col("p").alias("p_"), "count")
+        own = edges.select(F.col("id").alias("p"), F.col("nbs").alias("m"), "new")
+        reverse = _sampled(edges.select(F.col("nbs").alias("p"), F.col("id").alias("m"), "new"), "p", "m")
+        kept = own.unionByName(reverse).groupBy("p", "m").agg(F.max("new").alias("new"))
         worst = graph.select(F.col("id").alias("m_"), F.when(F.size("scores") < k, F.lit(float("-inf")).cast("float")).otherwise(F.array_min("scores")).alias("worst"))
         info = nodes.withColumnRenamed("id", "n_").join(worst, F.col("n_") == F.col("m_")).select("m_", "code", "worst")
-        kept = both.join(hubs, F.col("p") == F.col("p_"), "left").where(
-            F.col("count").isNull() | (F.pmod(F.xxhash64("p", "m"), F.lit(1 << 20)) * F.col("count") < F.lit(MEMBERS << 20))
-        )
         met = kept.join(info, F.col("m") == F.col("m_")).groupBy("p").agg(F.collect_list(F.struct(F.col("m").alias("id"), "code", "worst", "new")).alias("members")).where(F.exists("members", lambda x: x["new"]))
         found = met.select("members").mapInArrow(_local_join(GAIN, id_type), f"u {id_type}, c {id_type}, s float")
         graph = _merge(graph, found, k, id_type)
@@ -140,6 +132,14 @@ def build(classes: DataFrame, k: int = K, rounds: int = ROUNDS, seed: int = 42)
     return Index(nodes, graph, norm)
 
 
+def _sampled(edges: DataFrame, node: str, other: str) -> DataFrame:
+    """Edges into a node: all of them up to MEMBERS, beyond that a hash sample of about so many. A node's own
+    list is never sampled, so a hub keeps its neighbours."""
+    hubs = edges.groupBy(node).count().where(F.col("count") > MEMBERS).select(F.col(node).alias("hub_"), "count")
+    some = F.pmod(F.xxhash64(node, other), F.lit(1 << 20)) * F.col("count") < F.lit(MEMBERS << 20)
+    return edges.join(hubs, F.col(node) == F.col("hub_"), "left").where(F.col("count").isNull() | some).drop("hub_", "count")
+
+
 def _local_join(most: int, id_type: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -227,9 +227,7 @@ def search(index: Index, queries: DataFrame, pool: int = POOL, hops: int = HOPS)
     state_type = f"q long, qv array<double>, ids array<{id_type}>, scores array<float>, done array<boolean>"
     state = stored(queries.select("q", "qv", "own").mapInArrow(start, state_type), "ann-pool")
     edges = index.graph.select("id", F.explode("nbs").alias("nb"))
-    both = edges.unionByName(edges.select(F.col("nb").alias("id"), F.col("id").alias("nb"))).distinct()
-    hubs = both.groupBy("id").count().where(F.col("count") > MEMBERS).withColumnRenamed("id", "id_")
-    both = both.join(hubs, F.col("id") == F.col("id_"), "left").where(F.col("count").isNull() | (F.pmod(F.xxhash64("id", "nb"), F.lit(1 << 20)) * F.col("count") < F.lit(MEMBERS << 20)))
+    both = edges.unionByName(_sampled(edges.select(F.col("nb").alias("id"), F.col("id").alias("nb")), "id", "nb")).distinct()
     adjacent = stored(both.groupBy("id").agg(F.collect_list("nb").alias("to")), "ann-adjacent")
 
     def step(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -278,7 +276,8 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 20, id_col: str = "
     Null, zero and non-finite vectors take no part on either side; queries without candidates have no rows.
     Equal vectors are one node: of each, the k + 1 smallest ids are kept aside (in salted steps), which is
     all a query can return of them. Rows that repeat an id count once. Scores are recomputed from the
-    original vectors.
+    original vectors. A query that the graph search leaves with fewer rows than there are candidates for is
+    answered by `exact`.
     """
     v, ok = usable(vector)
     rows = vectors.where(ok & F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), v.alias("v")).dropDuplicates(["id"])
@@ -295,7 +294,54 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 20, id_col: str = "
     score = F.aggregate(F.zip_with("qv", "v", lambda a, b: F.coalesce(a * b, F.lit(0.0))), F.lit(0.0), lambda a, x: a + x)
     each = met.select("q", score.alias("score"), F.explode("members").alias("id")).where("id != q")
     rank = F.row_number().over(W.partitionBy("q").orderBy(F.desc("score"), "id"))
-    return each.withColumn("rank", rank).where(F.col("rank") <= k).select(F.col("q").alias("query_id"), F.col("rank").cast("int").alias("rank"), "id", "score")
+    found = stored(each.withColumn("rank", rank).where(F.col("rank") <= k).select(F.col("q").alias("query_id"), F.col("rank").cast("int").alias("rank"), "id", "score"), "ann-found")
+    n = rows.count()
+    full = found.groupBy("query_id").count().select(F.col("query_id").alias("full_"), F.col("count").alias("met"))
+    short = asked.join(full, F.col("q") == F.col("full_"), "left").join(rows.select(F.col("id").alias("own_")), F.col("q") == F.col("own_"), "left")
+    short = checkpoint(short.where(F.coalesce("met", F.lit(0)) < F.least(F.lit(k), F.lit(n) - F.col("own_").isNotNull().cast("long"))).select("q", "qv"))
+    again = exact(rows, short, k)
+    return found if again is None else found.join(short.select(F.col("q").alias("q_")), F.col("query_id") == F.col("q_"), "left_anti").unionByName(again)
+
+
+def exact(rows: DataFrame, asked: DataFrame, k: int, most: int = 4096) -> DataFrame | None:
+    """(query_id, rank, id, score): the k best of all rows (id, v) for the queries (q, qv); None without queries.
+
+    Queries go to the rows in hash parts of about `most`, a fixed bound on what is broadcast; a task keeps the best
+    of each of its batches only.
+    """
+    parts = -(-asked.count() // most)
+    out = None
+    for part in range(parts):
+        some = asked.where(F.pmod(F.xxhash64("q"), F.lit(parts)) == part).collect()
+        dim = max((len(r.qv) for r in some), default=0)
+        x = np.zeros((len(some), dim))
+        for i, r in enumerate(some):
+            x[i, : len(r.qv)] = r.qv
+        shared = asked.sparkSession.sparkContext.broadcast((np.array([r.q for r in some], np.int64), x))
+
+        def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+            names, x = shared.value
+            for batch in batches:
+                for at in range(0, batch.num_rows if len(names) else 0, 512):
+                    b = batch.slice(at, 512)
+                    ids, y = b.column(0).to_numpy(), np.zeros((b.num_rows, x.shape[1]))
+                    for i, v in enumerate(b.column(1)):
+                        v = np.asarray(v.values)[: x.shape[1]]
+                        y[i, : len(v)] = v
+                    s = x @ y.T
+                    s[names[:, None] == ids[None, :]] = -np.inf
+                    i, j = (g.ravel() for g in np.indices(s.shape))
+                    keep = best(i, ids[j], s.ravel(), k)
+                    keep = keep[s.ravel()[keep] > -np.inf]
+                    yield pa.RecordBatch.from_arrays([pa.array(names[i[keep]]), pa.array(ids[j[keep]])], names=["q", "id"])
+
+        near = rows.select("id", "v").mapInArrow(run, "q long, id long")
+        near = near.join(asked.select(F.col("q").alias("q_"), "qv"), F.col("q") == F.col("q_")).join(rows.select(F.col("id").alias("id_"), "v"), F.col("id") == F.col("id_"))
+        each = near.select("q", "id", F.aggregate(F.zip_with("qv", "v", lambda a, b: F.coalesce(a * b, F.lit(0.0))), F.lit(0.0), lambda a, x: a + x).alias("score"))
+        each = each.withColumn("rank", F.row_number().over(W.partitionBy("q").orderBy(F.desc("score"), "id"))).where(F.col("rank") <= k)
+        each = each.select(F.col("q").alias("query_id"), F.col("rank").cast("int").alias("rank"), "id", "score")
+        out = each if out is None else out.unionByName(each)
+    return out
 
 
 def op1_neighbours(spark, sf_dir: str) -> DataFrame:

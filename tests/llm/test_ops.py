@@ -153,7 +153,14 @@ def test_code_bounds():
     off = ~np.eye(300, dtype=bool)
     assert (embeddings.upper(codes, f, u @ turn) >= true - 1e-5).all()
     assert abs((embeddings.estimate(codes, f, u @ turn) - true)[off].mean()) < 0.01  # unbiased
-    assert (embeddings.upper(codes, f, u @ turn, 4.0) >= true - 1e-5)[off].mean() > 0.999
+    q, scale, error = embeddings.quantise(u @ turn)
+    turned = q * scale[:, None]
+    assert (embeddings.upper(codes, f, turned, error[None, :]) >= true - 1e-5).all() and error.max() < 0.05
+    near = u + 0.04 * rng.standard_normal(u.shape).astype(np.float32)
+    near /= np.linalg.norm(near, axis=1, keepdims=True)
+    close = (u @ near.T) >= 0.93
+    maybe = embeddings.possible(codes, f, *(lambda q, s, e: (q * s[:, None], e))(*embeddings.quantise(near @ turn)), 0.93, embeddings.EPSILON)
+    assert close.sum() > 200 and maybe[close].all() and maybe.mean() < 0.05  # few pairs are recomputed, no link is missed
     assert (embeddings.unpack(embeddings.pack(codes), 64) == codes).all()
 
 
