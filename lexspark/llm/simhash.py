@@ -204,7 +204,10 @@ def keep_first(docs: DataFrame, id_col: str, grouped: Callable[[DataFrame, str],
     groups = grouped(hashed, key)
     first = groups.groupBy("root").agg(F.min(F.struct(F.col(id_col).isNull().alias("none"), F.col(id_col).alias("id"), F.col(key).alias("row"))).alias("first"))
     ids = checkpoint(first.select(F.col("first.id").alias(kept), F.col("first.row").alias(f"{kept}2")))
-    one = hashed.join(ids, F.col(id_col).eqNullSafe(F.col(kept)) & (F.col(key) == F.col(f"{kept}2")), "left_semi")
+    # by the row hash alone, so that the repeated rows that are left need no further shuffle
+    a, b = F.col(id_col), F.col(kept)
+    same = ((a <= b) & (a >= b)) | (a.isNull() & b.isNull())
+    one = hashed.join(ids, (F.col(key) == F.col(f"{kept}2")) & same, "left_semi")
     return one.dropDuplicates([id_col, key]).select(*docs.columns)
 
 
