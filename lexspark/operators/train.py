@@ -57,21 +57,17 @@ def score_trials(corpus: DataFrame, trials: list[Vocab]) -> tuple[list[int], lis
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoders = [Encoder(v) for v in shared.value]
         tokens = [0] * len(encoders)
-        used = [np.zeros(len(e.ids) + 2, np.int64) for e in encoders]
+        used = [np.zeros(int(e.ids.max(initial=0)) + 2, np.int64) for e in encoders]
         lost = [np.zeros(256, np.int64) for _ in encoders]
         for batch in batches:
-            for x in batch.column(0):
-                b = x.as_py()
+            texts = batch.column(0).to_pylist()
+            for at in range(0, len(texts), 256):
                 for k, e in enumerate(encoders):
-                    ids, missing = e.encode(b)
-                    tokens[k] += len(ids) + (missing if e.vocab.unk is None else 0)
-                    if ids:
-                        got = np.bincount(ids, minlength=len(used[k]))
-                        used[k] = got + np.pad(used[k], (0, len(got) - len(used[k]))) if len(got) > len(used[k]) else used[k] + got
-                    if missing:
-                        have = {t[0] for t in e.index if len(t) == 1}
-                        h = np.bincount(np.frombuffer(b, np.uint8), minlength=256)
-                        lost[k] += np.where([i in have for i in range(256)], 0, h)
+                    ids, _, missing, gone = e.encode_many(texts[at : at + 256])
+                    tokens[k] += len(ids) + (int(missing.sum()) if e.vocab.unk is None else 0)
+                    got = np.bincount(ids, minlength=len(used[k]))
+                    used[k] = got + np.pad(used[k], (0, len(got) - len(used[k])))
+                    lost[k] += gone
         rows = [(k, -1, n) for k, n in enumerate(tokens)]
         rows += [(k, int(i), int(u[i])) for k, u in enumerate(used) for i in np.flatnonzero(u)]
         rows += [(k, -2 - int(i), int(m[i])) for k, m in enumerate(lost) for i in np.flatnonzero(m)]
@@ -90,14 +86,17 @@ def score_trials(corpus: DataFrame, trials: list[Vocab]) -> tuple[list[int], lis
     return totals, covered, lost
 
 
-def _newest(spark: SparkSession, folder: str) -> tuple[int, set[bytes]] | None:
-    """(round, candidates) of the newest finished table in a training folder."""
+def _newest(spark: SparkSession, folder: str) -> tuple[int, set[bytes], set[bytes]] | None:
+    """(round, candidates, single bytes) of the newest finished table in a training folder."""
     try:
         rows = spark.read.option("basePath", folder).parquet(f"{folder}/round=*")
     except AnalysisException:
         return None
     last = rows.agg({"round": "max"}).first()[0]
-    return None if last is None else (int(last), {bytes(r.token) for r in rows.where(F.col("round") == last).select("token").collect()})
+    if last is None:
+        return None
+    kept = {bytes(r.token) for r in rows.where(F.col("round") == last).select("token").collect()}
+    return int(last), {t for t in kept if len(t) > 1}, {t for t in kept if len(t) == 1}
 
 
 def train(docs: DataFrame, candidates: list[bytes], size: int, *, text: str = "text", capcode: int = 0, norm: int = 0, special: tuple[bytes, ...] = (), reserve: int = 0,
@@ -110,8 +109,8 @@ def train(docs: DataFrame, candidates: list[bytes], size: int, *, text: str = "t
     a few tokens exchanged until `keep_trying` of them in a row bring nothing (by default the reference's 1000, or 275
     if `fast`). max_rounds bounds these exchanges only: the candidates are always reduced to `size`. The driver holds the candidate list and
     the sums of a round; the corpus stays in its partitions. The same seed gives the same vocabulary.
-    folder: where every `every` rounds the candidates that are left are written as a table; a run that finds
-    such tables there goes on from the newest one.
+    folder: where every `every` rounds the candidates and single bytes that are left are written as a table; a run
+    that finds such tables there goes on from the newest one and gives what an unbroken run gives.
     """
     keep_trying = (275 if fast else 1000) if keep_trying is None else keep_trying
     corpus = strips(docs, text, norm, capcode).persist()
@@ -120,8 +119,6 @@ def train(docs: DataFrame, candidates: list[bytes], size: int, *, text: str = "t
     single = {c for c in candidates if len(c) == 1}
     left = sorted({c for c in candidates if len(c) > 1}, key=order_key)
     base = dict(capcode=capcode, normalization=norm, reserve=reserve, special=special, special_encoded=True)
-    fixed = len(Vocab.new(single, **base))
-    room = max(0, size - fixed)
     history: list[tuple[int, int, int]] = []
     best: tuple[int, list[bytes], dict[bytes, int]] | None = None
     tried: set[int] = set()
@@ -134,16 +131,21 @@ def train(docs: DataFrame, candidates: list[bytes], size: int, *, text: str = "t
 
     rounds = 0
     if folder and (saved := _newest(docs.sparkSession, folder)):
-        rounds, kept = saved
+        rounds, kept, single = saved
         left = [t for t in left if t in kept]
+    room = max(0, size - len(Vocab.new(single, **base)))
     while len(left) > room:
+        if not room:  # the single bytes and special tokens fill the vocabulary
+            left = []
+            break
         rounds += 1
         shuffled = left[:]
-        rng.shuffle(shuffled)
+        random.Random(f"{seed}:{rounds}").shuffle(shuffled)  # by the round, so a resumed run draws as an unbroken one
         cuts = [shuffled[i : i + room] for i in range(0, len(shuffled), max(1, room))][:TRIALS]
         totals, covered, lost = score_trials(part(len(left) > 2 * room), [make(c) for c in cuts])
         for m in lost:
             single |= {bytes([b]) for b in m}
+        room = max(0, size - len(Vocab.new(single, **base)))  # bytes that turned out to be needed take room
         k = max(2, room // divider(len(left), room, fast))
         gone: set[bytes] = set()
         for cut, cover in zip(cuts, covered, strict=True):
@@ -153,7 +155,7 @@ def train(docs: DataFrame, candidates: list[bytes], size: int, *, text: str = "t
         left = [t for t in left if t not in gone]
         history.append((rounds, len(left), min(totals)))
         if folder and rounds % every == 0:
-            docs.sparkSession.createDataFrame([(bytearray(t),) for t in left], "token binary").write.mode("overwrite").parquet(f"{folder}/round={rounds}")
+            docs.sparkSession.createDataFrame([(bytearray(t),) for t in [*left, *sorted(single)]], "token binary").write.mode("overwrite").parquet(f"{folder}/round={rounds}")
     spare = sorted({c for c in candidates if len(c) > 1} - set(left), key=order_key)
     bad = 0
     trial = [left]
