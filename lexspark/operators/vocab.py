@@ -6,6 +6,7 @@ shipped to tasks as one broadcast, and shown as tables. Every edit builds a new
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterable
 from dataclasses import dataclass, field, replace
 
@@ -229,6 +230,13 @@ class Vocab:
         """Bytes of a serialised id: 2 if all ids fit, else 3."""
         return 2 if self.highest_id < 65536 else 3
 
+    def fingerprint(self) -> int:
+        """A number that is equal for vocabularies that give every id the same meaning, however they were made."""
+        h = hashlib.blake2b(repr((self.capcode, self.charset, self.norm, self.unk)).encode(), digest_size=7)
+        for i, t in sorted(self.reverse.items()):
+            h.update(b"%d:%d:" % (i, len(t)) + t)
+        return int.from_bytes(h.digest(), "big")
+
     def id_to_token(self, i: int) -> bytes | None:
         return self.reverse.get(i)
 

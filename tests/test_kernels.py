@@ -153,3 +153,96 @@ def test_filter_options():
     with pytest.raises(ValueError):
         Filter("clean", capcode=2, words=2)
     assert not Filter("consistent", 2, words=2)(b" the cat sat on", b".")
+
+
+def test_fingerprint():
+    a, b = Vocab.new(["a", "b", "ab"], charset=0), Vocab.new(["ab", "b", "a"], charset=0)
+    assert a.fingerprint() == b.fingerprint() != a.add_tokens(b"ba").fingerprint() and a.add_tokens(b"ba").delete_tokens(b"ba").fingerprint() == a.fingerprint()
+
+
+def test_bad_bytes():
+    assert cc.runes(b"\xff" * 3000 + "é".encode())[-2:] == [(cc.BAD, 1), ("é", 2)]
+
+
+class PlainEncoder:
+    """The rules of the encoder one place after another, with nothing but slices and a dictionary."""
+
+    def __init__(self, v):
+        self.v, self.at = v, {e.token: e for e in v.entries}
+
+    def longest(self, b):
+        return next(((self.at[b[:n]], n) for n in range(min(len(b), self.v.max_len), 0, -1) if b[:n] in self.at), (None, 0))
+
+    def encode(self, b):
+        v, out, missing, i = self.v, [], 0, 0
+        cls = lambda k: v.begin[b[k] if k < len(b) else 0]
+        while i < len(b):
+            e, n = self.longest(b[i:])
+            lent = 0
+            if e is None:
+                out += [] if v.unk is None else [v.unk]
+                i, missing = i + 1, missing + 1
+                continue
+            while e is not None:
+                best = None
+                if i + n < len(b) and not (e.flag & 32 and cls(i + n) == 12):
+                    tries = [(e, n)]
+                    for k, size in ((e.alt, e.alt_len), (e.alt2, e.alt2_len)):
+                        tries += [] if k is None else [(v.entries[k], size - lent)]
+                    for rescue in (0, 1):
+                        for no, (x, size) in enumerate(tries):
+                            y, more = self.longest(b[i + size :])
+                            if y is None:
+                                continue
+                            if rescue:
+                                if v.delete_id is None or not y.flag & 2 or cls(i + size + more) != 1 or y.n_words:
+                                    continue
+                                z, with_space = self.longest(b" " + b[i + size : i + size + v.max_len - 1])
+                                if z is None or with_space <= more + 1:
+                                    continue
+                                y, more = z, with_space - 1
+                            nb, w1 = cls(i + size + more), x.n_words - lent
+                            score = size + more + (x.flag >> 7) + (y.flag >> 7) + max(0, w1 - 1) + max(0, y.n_words - 1) + (nb >> 2 & 1) + 100 * (w1 + y.n_words + (nb >> 3))
+                            score -= 100 * (x.flag >> 3 & 1 & y.flag >> 4) + 3 * (y.flag & 1 & nb)
+                            score += -103 * (x.flag & 1) - 1 if rescue else (y.flag >> 2 & 1) - 103 * (x.flag & 1 & y.flag >> 1)
+                            if no:
+                                score -= 100 if size + more < n else 10000 if size + more == n else 0
+                            if best is None or score > best[0]:
+                                best = score, x, size, y, more, rescue
+                if best is None:
+                    out.append(e.id)
+                    i, e = i + n, None
+                else:
+                    _, x, size, e, n, lent = best
+                    out += [x.id, v.delete_id] if lent else [x.id]
+                    i += size
+        return out, missing
+
+
+def test_encoder_against_plain_rules():
+    import random
+
+    rng = random.Random(3)
+    words = ["the", "there", "other", "he", "re", "then", "Cat", "x1", "a-b", "it's", "é", "42", "  ", "\n", ", ", "THE"]
+    texts = ["".join(rng.choice([" ", " ", ""]) + rng.choice(words) for _ in range(rng.randint(0, 60))) for _ in range(150)]
+    for level in (0, 1, 2):
+        b = [to_model(t.encode(), 0, level) for t in texts]
+        grams = sorted({x[i : i + n] for x in b for i in range(len(x)) for n in (1, 2, 3, 4, 5, 7, 9)})
+        for size, unk in ((60, True), (400, False)):
+            v = Vocab.new(rng.sample(grams, min(size, len(grams))), capcode=level, unk=unk, reserve=8 * (size > 100))
+            fast, plain = Encoder(v), PlainEncoder(v)
+            assert [fast.encode(x) for x in b] == [plain.encode(x) for x in b]
+
+
+#: What each mode says of a token before a look-ahead, from the rules alone.
+RULES = [
+    ("clean", b"a  b", b"c", False), ("clean", b"a\n\nb", b"c", True), ("clean", b"ab ", b"c", False), ("clean", b", ", b"a", False), ("clean", b", ", b"", True), ("clean", b"ab\n", b"c", True),
+    ("balanced", b"a  b", b"", False), ("balanced", b"the cat", b"s", False), ("balanced", b"the cat", b" ", True), ("balanced", b"a.C", b"x", True), ("balanced", b"aC", b"x", False),
+    ("consistent", b" the cat", b" ", True), ("consistent", b" the ca", b"t", False), ("consistent", b" it's", b"", True), ("consistent", b" 12.", b"", True), ("consistent", b"12a", b"", False), ("consistent", b"(a", b"", False), ("consistent", b"><", b"", False),
+    ("strict", b" the cat", b".", True), ("strict", b" the.", b"", False), ("strict", b"()", b"", True), ("strict", b"12", b"", True), ("strict", b"a1", b"", False), ("strict", b" it's", b" ", True), ("strict", b"><", b"", False),
+]
+
+
+@pytest.mark.parametrize("mode,token,ahead,ok", RULES)
+def test_filter_rules(mode, token, ahead, ok):
+    assert Filter(mode, 2)(token, ahead) is ok
