@@ -325,7 +325,7 @@ def conversation_tokens(spark, sf_dir):
 def train_small(spark, sf_dir):
     bench = table(spark, sf_dir, "benchmark")
     found = C.mine(bench, high=10, mode="clean", capcode=2, min_occur=4).orderBy(F.desc("n"), F.length("token"), "token").limit(1500).collect()
-    out = T.train(bench, [bytes(r["token"]) for r in found], 500, capcode=2, reserve=1)
+    out = T.train(bench, [bytes(r["token"]) for r in found], 500, capcode=2, reserve=1, keep_trying=20)  # the operator's own 275 take minutes of job starts here
     return out.vocab.tables(spark)[3]
 
 
