@@ -10,7 +10,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_ROWS, checkpoint, components, stored
+from .common import checkpoint, components, stored
 from .simhash import keep_first, shingle_hashes
 
 #: Words of a shingle; least similarity of a link, as a fraction.
@@ -19,6 +19,8 @@ SHINGLE, LEAST = 5, (4, 5)
 SAMPLE, FREQUENT = 8192, 200_000
 #: Parts of the hashes that a sketch counts: a power of two.
 BUCKETS = 256
+#: Rows a Python worker holds the sets of at a time, and log2 of the bits of the map of wanted rows: fixed bounds.
+SLICE, MAP_BITS = 256, 24
 
 
 def shingle_set(text: str | None) -> np.ndarray:
@@ -84,7 +86,7 @@ def _candidates(groups: DataFrame, leaders: bool) -> DataFrame:
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array([p[k] for p in out], pa.binary()) for k in (0, 1)], names=["a", "b"])
 
-    return groups.select("members").mapInArrow(run, "a binary, b binary").distinct()
+    return groups.select("members").mapInArrow(run, "a binary, b binary")
 
 
 def sketch(s: np.ndarray) -> bytes:
@@ -104,28 +106,23 @@ def _may_reach(a: list[bytes], b: list[bytes]) -> np.ndarray:
     return out
 
 
-def _confirmed(pairs: DataFrame, classes: DataFrame, docs: DataFrame, key: str, text: str, known: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
-    """(the pairs whose whole texts reach the similarity, the sets of all classes met). The texts of candidates whose
-    sets are not known are read again for their sets; pairs first meet by the sketches, and sets go only to pairs
-    that these do not rule out."""
-    pairs = stored(pairs, "similar-pairs")
-    need = pairs.select(F.col("a").alias("cls")).unionByName(pairs.select(F.col("b").alias("cls"))).distinct()
-    if known is not None:
-        need = need.join(known.select("cls"), "cls", "left_anti")
-    one = checkpoint(classes.select("cls", F.col("key").alias("key_")).join(need, "cls"))
-    one = F.broadcast(one) if one.count() <= BROADCAST_ROWS else one  # else the texts are shuffled
-    texts = docs.select(key, text).join(one, F.col(key) == F.col("key_")).dropDuplicates(["cls"]).select("cls", text)
+def _wanted(keys: DataFrame) -> np.ndarray:
+    """A map of 2^MAP_BITS bits with those of the keys set: as large for any number of keys."""
+    low = F.col("key").bitwiseAND(F.lit((1 << MAP_BITS) - 1))
+    words = keys.select(F.shiftright(low, 6).alias("w"), low.bitwiseAND(F.lit(63)).cast("int").alias("at"))
+    words = words.groupBy("w").agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), F.col("at"))).alias("bits")).toArrow()
+    out = np.zeros(1 << MAP_BITS - 6, np.int64)
+    out[np.asarray(words.column("w"))] = np.asarray(words.column("bits"))
+    return out
 
-    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            s = [shingle_set(x.as_py()) for x in batch.column(1)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([x.view(np.int64) for x in s], pa.list_(pa.int64())), pa.array([sketch(x) for x in s], pa.binary())], names=["cls", "s", "sketch"])
 
-    s = stored(texts.mapInArrow(sets, "cls binary, s array<long>, sketch binary"), "similar-sets")
-    s = s if known is None else s.unionByName(known)
+def _confirmed(pairs: DataFrame, classes: DataFrame, docs: DataFrame, key: str, text: str, known: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """(the pairs whose whole texts reach the similarity, the sets of all classes met). Pairs first meet by the
+    sketches. The texts of those not ruled out whose sets are not known are read again for their sets, in a narrow
+    pass: a map of bits tells which rows are wanted, and what it lets through beside them meets no pair."""
     num, den = LEAST
 
-    def joined(rows: DataFrame, column: str) -> DataFrame:
+    def joined(rows: DataFrame, s: DataFrame, column: str) -> DataFrame:
         left, right = (s.select(F.col("cls").alias(f"{c}_"), F.col(column).alias(f"s{c}")) for c in "ab")
         return rows.join(left, F.col("a") == F.col("a_")).join(right, F.col("b") == F.col("b_")).select("a", "b", "sa", "sb")
 
@@ -142,8 +139,28 @@ def _confirmed(pairs: DataFrame, classes: DataFrame, docs: DataFrame, key: str,
                 keep.append((num + den) * len(np.intersect1d(x, y, assume_unique=True)) >= num * (len(x) + len(y)))
             yield pa.RecordBatch.from_arrays([batch.column(k).filter(pa.array(keep, pa.bool_())) for k in (0, 1)], names=["a", "b"])
 
-    left = checkpoint(joined(pairs, "sketch").mapInArrow(rough, "a binary, b binary"))
-    return checkpoint(joined(left, "s").mapInArrow(check, "a binary, b binary")), s
+    pairs = checkpoint(joined(pairs.distinct(), classes, "sketch").mapInArrow(rough, "a binary, b binary"))
+    need = pairs.select(F.col("a").alias("cls")).unionByName(pairs.select(F.col("b").alias("cls"))).distinct()
+    if known is not None:
+        need = need.join(known.select("cls"), "cls", "left_anti")
+    wanted = docs.sparkSession.sparkContext.broadcast(_wanted(classes.join(need, "cls").select("key")))
+
+    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            low = np.asarray(batch.column(0)) & ((1 << MAP_BITS) - 1)
+            texts = batch.column(1).filter(pa.array((wanted.value[low >> 6] >> (low & 63) & 1).astype(bool)))
+            for i in range(0, len(texts), SLICE):
+                s = [shingle_set(x.as_py()) for x in texts.slice(i, SLICE)]
+                yield pa.RecordBatch.from_arrays([pa.array([_digest(x) for x in s], pa.binary()), pa.array([x.view(np.int64) for x in s], pa.list_(pa.int64()))], names=["cls", "s"])
+
+    s = stored(docs.select(key, text).mapInArrow(sets, "cls binary, s array<long>"), "similar-sets")
+    s = s if known is None else s.unionByName(known)
+    return checkpoint(joined(pairs, s.dropDuplicates(["cls"]), "s").mapInArrow(check, "a binary, b binary")), s
+
+
+def _digest(s: np.ndarray) -> bytes:
+    """The name of the class of a set."""
+    return xxhash.xxh3_128_digest(s.tobytes())
 
 
 def groups(docs: DataFrame, id_col: str, key: str, text: str = "text") -> DataFrame:
@@ -158,15 +175,18 @@ def groups(docs: DataFrame, id_col: str, key: str, text: str = "text") -> DataFr
     shared = spark.sparkContext.broadcast(_frequent(docs, key, text))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            s = [shingle_set(x.as_py()) for x in batch.column(2)]
-            first = [prefix(x, *shared.value).view(np.int64) for x in s]
-            cls = pa.array([xxhash.xxh3_128_digest(x.tobytes()) for x in s], pa.binary())
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), cls, pa.array([len(x) for x in s], pa.int32()), pa.array(first, pa.list_(pa.int64()))], names=[id_col, key, "cls", "n", "first"])
+        for whole in batches:
+            for i in range(0, whole.num_rows, SLICE):
+                batch = whole.slice(i, SLICE)
+                s = [shingle_set(x.as_py()) for x in batch.column(2)]
+                first = pa.array([prefix(x, *shared.value).view(np.int64) for x in s], pa.list_(pa.int64()))
+                cls, sketches = (pa.array([f(x) for x in s], pa.binary()) for f in (_digest, sketch))
+                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), cls, pa.array([len(x) for x in s], pa.int32()), first, sketches], names=[id_col, key, "cls", "n", "first", "sketch"])
 
     id_type = docs.schema[id_col].dataType.simpleString()
-    rows = stored(docs.select(id_col, key, text).mapInArrow(run, f"`{id_col}` {id_type}, `{key}` long, cls binary, n int, first array<long>"), "similar-rows")
-    classes = stored(rows.groupBy("cls").agg(F.min(key).alias("key")), "similar-classes")
+    schema = f"`{id_col}` {id_type}, `{key}` long, cls binary, n int, first array<long>, sketch binary"
+    rows = stored(docs.select(id_col, key, text).mapInArrow(run, schema), "similar-rows")
+    classes = stored(rows.groupBy("cls").agg(F.min(key).alias("key"), F.first("sketch").alias("sketch")), "similar-classes")
     one = rows.join(classes.select(F.col("cls").alias("cls_"), F.col("key").alias("key_")), (F.col("cls") == F.col("cls_")) & (F.col(key) == F.col("key_"))).dropDuplicates(["cls", key])
     each = one.select("cls", "n", F.posexplode("first").alias("at", "s"))
     member = F.struct("cls", "n", "at", F.lit(None).cast("binary").alias("comp"))

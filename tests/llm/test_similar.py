@@ -58,3 +58,22 @@ def test_sketches_never_rule_out_a_link():
             assert maybe or not link
             ruled_out += not maybe
     assert ruled_out >= 6 and similar.sketch(np.zeros(300, np.uint64)) == b"" and similar._may_reach([b""], [b"x"]).all()
+
+
+def test_texts_are_read_again_without_a_shuffle(spark, monkeypatch):
+    """Texts of candidates pass a map of wanted rows; neither a join nor a sort holds them."""
+    plans = {}
+    real = similar.stored
+    monkeypatch.setattr(similar, "stored", lambda df, name: plans.setdefault(name, df._jdf.queryExecution().toString()) and real(df, name))
+    w = [f"w{i}" for i in range(100)]
+    docs = spark.createDataFrame([(i, " ".join([*w[:-1], f"x{i % 3}"]), "en", "s", 1) for i in range(12)], "doc_id long, text string, lang string, source string, n_chars long")
+    assert kept_of(spark, docs) == [0]
+    assert "MapInArrow" in plans["similar-sets"] and "Exchange" not in plans["similar-sets"]
+
+
+def test_the_map_of_wanted_rows(spark):
+    keys = np.concatenate([np.random.default_rng(11).integers(-(2**63), 2**63, 500), [0, -1, 63, 64, 2**63 - 1, -(2**63)]])
+    got = similar._wanted(spark.createDataFrame([(int(k),) for k in keys], "key long"))
+    low = keys & (1 << similar.MAP_BITS) - 1
+    assert len(got) * 64 == 1 << similar.MAP_BITS and (got[low >> 6] >> (low & 63) & 1).all() and np.bitwise_count(got.view(np.uint64)).sum() == len(set(low.tolist()))
+    assert not similar._wanted(spark.createDataFrame([], "key long")).any()
