@@ -37,7 +37,11 @@ def shingle_hashes(text: str | None, shingle: int, seed: int = 42) -> np.ndarray
 
 def fingerprint(text: str | None, shingle: int = 3, seed: int = 42) -> int:
     """The 64-bit SimHash of a text: lower-case A-Z, words, shingles with repeats, XXH64; majority per bit."""
-    h = shingle_hashes(text, shingle, seed)
+    return majority(shingle_hashes(text, shingle, seed))
+
+
+def majority(h: np.ndarray) -> int:
+    """The bits that are set in over half of some 64-bit hashes."""
     if not len(h):
         return 0
     set_ = np.zeros(64, dtype=np.int64)
@@ -61,7 +65,7 @@ def fingerprints(docs: DataFrame, text: str = "text", out: str = "fp") -> DataFr
 
 # ---- the trees --------------------------------------------------------------------------------------
 
-#: Levels of a tree: each looks at two bits of a half of the fingerprint, so a distance is 0, 1 or 2.
+#: Levels of a tree on half of the fingerprint: each looks at two bits, so a distance is 0, 1 or 2.
 LEVELS = 16
 _FIELDS = 0x55555555
 
@@ -74,28 +78,28 @@ def ball(levels: int, radius: int) -> list[int]:
     return sorted(found)
 
 
-def vantage_points(sample: np.ndarray) -> list[int]:
-    """The vantage point of each half, of every two bits the value whose distances spread most over a sample."""
+def vantage_points(sample: np.ndarray, levels: int = LEVELS) -> list[int]:
+    """The vantage point of each part, of every two bits the value whose distances spread most over a sample."""
     out = []
-    for half in (0, 32):
+    for part in range(0, 64, 2 * levels):
         v = 0
-        for i in range(half, half + 2 * LEVELS, 2):
+        for i in range(part, part + 2 * levels, 2):
             bits = (sample >> np.uint64(i)) & np.uint64(3)
             spread = [sum(float(np.mean(np.bitwise_count(bits ^ np.uint64(x)) == d)) ** 2 for d in range(3)) for x in range(4)]
-            v |= int(np.argmin(spread)) << (i - half)
+            v |= int(np.argmin(spread)) << (i - part)
         out.append(v)
     return out
 
 
-def shard_of(fp: Column, half: int, point: int) -> Column:
-    """The packed distances of one half of a fingerprint to its vantage point, level by level."""
-    x = F.shiftrightunsigned(fp, 32 * half).bitwiseAND(F.lit(0xFFFFFFFF)).bitwiseXOR(F.lit(point))
+def shard_of(fp: Column, part: int, point: int, levels: int = LEVELS) -> Column:
+    """The packed distances of one part of a fingerprint to its vantage point, level by level."""
+    x = F.shiftrightunsigned(fp, 2 * levels * part).bitwiseAND(F.lit((1 << 2 * levels) - 1)).bitwiseXOR(F.lit(point))
     return x.bitwiseAND(F.lit(_FIELDS)) + F.shiftright(x, 1).bitwiseAND(F.lit(_FIELDS))
 
 
-def shard_pairs(blocks: DataFrame, radius: int) -> DataFrame:
+def shard_pairs(blocks: DataFrame, radius: int, levels: int = LEVELS) -> DataFrame:
     """Pairs of blocks whose shards overlap at a boundary: each shard meets itself and the shards ahead of it."""
-    ahead = F.array(*[F.lit(o).cast("long") for o in ball(LEVELS, radius // 2) if o > 0])
+    ahead = F.array(*[F.lit(o).cast("long") for o in ball(levels, radius // (32 // levels)) if o > 0])
     inside = lambda c: (c >= 0) & (c.bitwiseAND(F.shiftright(c, 1)).bitwiseAND(F.lit(_FIELDS)) == 0)  # noqa: E731  no distance is 3
     reach = F.filter(F.transform(ahead, lambda o: F.col("shard") + o), inside)
     to = blocks.select("tree", F.explode(F.concat(F.array("shard"), reach)).alias("to"), F.col("shard").alias("from"), F.col("block").alias("from_block"), F.col("fps").alias("left"))
@@ -151,19 +155,24 @@ def fingerprint_links(distinct: DataFrame, radius: int = 3) -> DataFrame:
     """(a, b): edges between distinct fingerprints (column fp) whose components are those of all pairs at up
     to `radius` differing bits.
 
-    Two vantage-point trees, one for each half of the bits: of two fingerprints within `radius`, one half is
-    within radius // 2. Every level of a tree partitions by the Hamming distance to the vantage point on two
-    bits of its half. The bits of the levels are disjoint, so by the triangle inequality the changes of the
-    distances add up to the distance of the halves at most: branches beyond a total of radius // 2 are pruned,
-    and a shard is queried from itself and the shards at its boundary. What is pruned cannot hold a pair, so
-    the links are exact. A tree has 3^16 leaves at any size; leaves with more than BLOCK fingerprints are cut by
-    a hash, and their blocks meet one another.
+    Two vantage-point trees, one for each half of the bits (four up to a radius of 7, eight up to 15, ...): of
+    two fingerprints within `radius`, one of the parts is within radius // parts, which is 1 or 0. Every level
+    of a tree partitions by the Hamming distance to the vantage point on two bits of its part. The bits of the
+    levels are disjoint, so by the triangle inequality the changes of the distances add up to the distance of
+    the parts at most: branches beyond a total of radius // parts are pruned, and a shard is queried from itself
+    and the shards at its boundary. What is pruned cannot hold a pair, so the links are exact. A tree of half
+    the bits has 3^16 leaves at any size, one of a quarter 3^8, so wider radii compare more; leaves with more
+    than BLOCK fingerprints are cut by a hash, and their blocks meet one another.
     """
     spark = distinct.sparkSession
+    parts = 2
+    while radius // parts > 1:
+        parts *= 2
+    levels = 32 // parts
     sample = np.array([r[0] for r in distinct.orderBy(F.xxhash64("fp")).limit(SAMPLE).collect()], dtype=np.int64).view(np.uint64)
     if not len(sample):
         return spark.createDataFrame([], "a long, b long")
-    trees = F.array(*[F.struct(F.lit(k).alias("tree"), shard_of(F.col("fp"), k, v).alias("shard")) for k, v in enumerate(vantage_points(sample))])
+    trees = F.array(*[F.struct(F.lit(k).alias("tree"), shard_of(F.col("fp"), k, v, levels).alias("shard")) for k, v in enumerate(vantage_points(sample, levels))])
     placed = distinct.select("fp", F.inline(trees))
     big = checkpoint(placed.groupBy("tree", "shard").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("n")).where("n > 1")).withColumnsRenamed({"tree": "tree_", "shard": "shard_"})
     # a shard with more than a block is cut by a hash before its fingerprints are gathered; an uncut one has block -1
@@ -176,7 +185,7 @@ def fingerprint_links(distinct: DataFrame, radius: int = 3) -> DataFrame:
             for a, b in compare(batch.column(0), batch.column(1), radius):
                 yield pa.RecordBatch.from_arrays([pa.array(v.view(np.int64)) for v in (a, b)], names=["a", "b"])
 
-    return shard_pairs(blocks, radius).mapInArrow(run, "a long, b long")
+    return shard_pairs(blocks, radius, levels).mapInArrow(run, "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "text", radius: int = 3, carry: tuple[str, ...] = ()) -> DataFrame:

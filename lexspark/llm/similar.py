@@ -1,4 +1,4 @@
-"""Near-dedup by the exact Jaccard similarity of word shingles: candidates by prefix filtering, no pair lost."""
+"""Near-dedup by the exact Jaccard similarity of word shingles: candidates by SimHash, by prefix filtering what it misses."""
 
 from __future__ import annotations
 
@@ -11,10 +11,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import checkpoint, components, stored
-from .simhash import keep_first, shingle_hashes
+from .simhash import fingerprint_links, keep_first, majority, shingle_hashes
 
 #: Words of a shingle; least similarity of a link, as a fraction.
 SHINGLE, LEAST = 5, (4, 5)
+#: Most differing bits of the fingerprints of candidates.
+RADIUS = 7
 #: Documents whose shingles are counted to put frequent ones last, and frequent shingles kept: fixed bounds.
 SAMPLE, FREQUENT = 8192, 200_000
 #: Parts of the hashes that a sketch counts: a power of two.
@@ -89,6 +91,17 @@ def _candidates(groups: DataFrame, leaders: bool) -> DataFrame:
     return groups.select("members").mapInArrow(run, "a binary, b binary")
 
 
+def simhash_pairs(classes: DataFrame, radius: int = RADIUS) -> DataFrame:
+    """(a, b): pairs of classes (cls, fp) that connect all classes whose fingerprints are linked over up to `radius`
+    differing bits, through the vantage-point trees; classes with one fingerprint meet the first of them."""
+    lead = checkpoint(classes.groupBy("fp").agg(F.min("cls").alias("lead")))
+    same = classes.join(lead.withColumnRenamed("fp", "fp_"), F.col("fp") == F.col("fp_")).where("cls != lead").select(F.col("lead").alias("a"), F.col("cls").alias("b"))
+    left, right = (lead.select(F.col("fp").alias(f"{c}_"), F.col("lead").alias(f"l{c}")) for c in "ab")
+    near = fingerprint_links(lead.select("fp"), radius).distinct()
+    near = near.join(left, F.col("a") == F.col("a_")).join(right, F.col("b") == F.col("b_"))
+    return near.select(F.least("la", "lb").alias("a"), F.greatest("la", "lb").alias("b")).unionByName(same)
+
+
 def sketch(s: np.ndarray) -> bytes:
     """How many shingles of a set fall into each of BUCKETS parts of the hashes; empty where a count passes a byte."""
     n = np.bincount((s & np.uint64(BUCKETS - 1)).astype(np.int64), minlength=BUCKETS)
@@ -167,9 +180,11 @@ def groups(docs: DataFrame, id_col: str, key: str, text: str = "text") -> DataFr
     """(id, key, root) of every row: root names the component over links of Jaccard similarity LEAST and more.
 
     key is a hash of the whole row. Equal shingle sets are one class, so groups of copies are never expanded.
-    Classes that share a shingle of their prefixes form groups. First every group's members meet its first
-    member; then, in groups of three and more, members of different components meet each other: what is
-    left out is connected already. So all components are those of all pairs.
+    Candidates are the classes whose SimHash fingerprints (over the set of shingles) meet within RADIUS bits through
+    the vantage-point trees. Fingerprints alone would lose pairs, so there is an exact way for the rest: classes that
+    share a shingle of their prefixes form groups. Every group's members meet its first member. All candidates
+    are confirmed on the whole texts. Then, in groups of three and more, members of different components
+    meet each other: what is left out is connected already. So all components are those of all pairs.
     """
     spark = docs.sparkSession
     shared = spark.sparkContext.broadcast(_frequent(docs, key, text))
@@ -181,17 +196,19 @@ def groups(docs: DataFrame, id_col: str, key: str, text: str = "text") -> DataFr
                 s = [shingle_set(x.as_py()) for x in batch.column(2)]
                 first = pa.array([prefix(x, *shared.value).view(np.int64) for x in s], pa.list_(pa.int64()))
                 cls, sketches = (pa.array([f(x) for x in s], pa.binary()) for f in (_digest, sketch))
-                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), cls, pa.array([len(x) for x in s], pa.int32()), first, sketches], names=[id_col, key, "cls", "n", "first", "sketch"])
+                fp = pa.array(np.array([majority(x) for x in s], np.uint64).view(np.int64))
+                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), cls, pa.array([len(x) for x in s], pa.int32()), first, fp, sketches], names=[id_col, key, "cls", "n", "first", "fp", "sketch"])
 
     id_type = docs.schema[id_col].dataType.simpleString()
-    schema = f"`{id_col}` {id_type}, `{key}` long, cls binary, n int, first array<long>, sketch binary"
+    schema = f"`{id_col}` {id_type}, `{key}` long, cls binary, n int, first array<long>, fp long, sketch binary"
     rows = stored(docs.select(id_col, key, text).mapInArrow(run, schema), "similar-rows")
-    classes = stored(rows.groupBy("cls").agg(F.min(key).alias("key"), F.first("sketch").alias("sketch")), "similar-classes")
+    classes = stored(rows.groupBy("cls").agg(F.min(key).alias("key"), F.first("fp").alias("fp"), F.first("sketch").alias("sketch")), "similar-classes")
     one = rows.join(classes.select(F.col("cls").alias("cls_"), F.col("key").alias("key_")), (F.col("cls") == F.col("cls_")) & (F.col(key) == F.col("key_"))).dropDuplicates(["cls", key])
     each = one.select("cls", "n", F.posexplode("first").alias("at", "s"))
     member = F.struct("cls", "n", "at", F.lit(None).cast("binary").alias("comp"))
     met = stored(each.groupBy("s").agg(F.collect_list(member).alias("members")).where(F.size("members") > 1), "similar-groups")
-    links, sets = _confirmed(_candidates(met, True), classes, docs, key, text)
+    near = simhash_pairs(classes.select("cls", "fp"))
+    links, sets = _confirmed(_candidates(met, True).unionByName(near), classes, docs, key, text)
     comp = checkpoint(components(links))
     wide = met.where(F.size("members") > 2).select("s", F.inline("members")).drop("comp").join(comp, F.col("cls") == F.col("node"), "left")
     member = F.struct("cls", "n", "at", F.coalesce("component", "cls").alias("comp"))

@@ -77,3 +77,35 @@ def test_the_map_of_wanted_rows(spark):
     low = keys & (1 << similar.MAP_BITS) - 1
     assert len(got) * 64 == 1 << similar.MAP_BITS and (got[low >> 6] >> (low & 63) & 1).all() and np.bitwise_count(got.view(np.uint64)).sum() == len(set(low.tolist()))
     assert not similar._wanted(spark.createDataFrame([], "key long")).any()
+
+
+def test_fingerprints_meet_through_the_trees(spark):
+    """The SimHash step of the stage: classes are connected as by all pairs of fingerprints within the radius."""
+    rng = np.random.default_rng(10)
+    fps = rng.integers(0, 2**63, 60, dtype=np.uint64)
+    for bits in (1, 4, 7, 8, 12):
+        flip = [sum(1 << int(b) for b in rng.choice(64, bits, replace=False)) for _ in range(40)]
+        fps = np.concatenate([fps, fps[rng.integers(0, 60, 40)] ^ np.array(flip, np.uint64)])
+    fps = np.concatenate([fps, fps[:3], np.array([0, 0], np.uint64)])
+    for radius in (3, similar.RADIUS):
+        lab = np.arange(len(fps))
+        for i, j in zip(*np.nonzero(np.bitwise_count(fps[:, None] ^ fps[None, :]) <= radius), strict=True):
+            lab[lab == max(lab[i], lab[j])] = min(lab[i], lab[j])
+        names = [i.to_bytes(2, "big") for i in range(len(fps))]
+        rows = list(zip(names, fps.view(np.int64).tolist(), strict=True))
+        got = np.arange(len(fps))
+        for r in similar.simhash_pairs(spark.createDataFrame(rows, "cls binary, fp long").repartition(3), radius).collect():
+            i, j = int.from_bytes(r.a, "big"), int.from_bytes(r.b, "big")
+            got[got == max(got[i], got[j])] = min(got[i], got[j])
+        assert got.tolist() == lab.tolist() and 60 < len(set(lab.tolist())) < 240
+
+
+def test_the_stage_asks_the_fingerprints(spark, monkeypatch):
+    """Copies but for one word are candidates by their fingerprints; no pair is lost where no fingerprint is near."""
+    w = [f"w{i}" for i in range(400)]
+    texts = [" ".join(w), " ".join([*w[:200], "x", *w[201:]]), "a b c d e f", "u v"]
+    seen = []
+    real = similar.simhash_pairs
+    monkeypatch.setattr(similar, "simhash_pairs", lambda classes: seen.append(real(classes)) or seen[-1])
+    docs = spark.createDataFrame([(i, t, "en", "s", 1) for i, t in enumerate(texts)], "doc_id long, text string, lang string, source string, n_chars long")
+    assert kept_of(spark, docs) == [0, 2, 3] and seen[0].count() == 1
