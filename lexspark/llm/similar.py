@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
@@ -25,6 +26,17 @@ BUCKETS = 256
 SLICE, MAP_BITS = 256, 24
 
 
+_trim = getattr(ctypes.CDLL(None), "malloc_trim", lambda pad: 0)  # glibc only
+
+
+def _lean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The batches; before each, memory that the worker no longer uses, of earlier operators too, goes back to the system."""
+    for batch in batches:
+        pa.default_memory_pool().release_unused()
+        _trim(0)
+        yield batch
+
+
 def shingle_set(text: str | None) -> np.ndarray:
     """The sorted distinct shingle hashes of a text; a text of fewer words is one shingle, no words none."""
     return np.unique(shingle_hashes(text, SHINGLE))
@@ -56,7 +68,7 @@ def _frequent(docs: DataFrame, key: str, text: str) -> tuple[np.ndarray, np.ndar
     some = docs.where(F.pmod(F.xxhash64(key), F.lit(1 << 30)) * F.lit(max(1, n)) < F.lit(SAMPLE << 30)) if n > SAMPLE else docs
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in _lean(batches):
             for x in batch.column(0):
                 yield pa.RecordBatch.from_arrays([pa.array(shingle_set(x.as_py()).view(np.int64))], names=["s"])
 
@@ -71,7 +83,7 @@ def _candidates(groups: DataFrame, leaders: bool) -> DataFrame:
     else of members of different components."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in _lean(batches):
             out: set[tuple[bytes, bytes]] = set()
             for g in batch.column(0):
                 names, n, at, comp = (g.values.field(k) for k in range(4))
@@ -132,7 +144,8 @@ def _wanted(keys: DataFrame) -> np.ndarray:
 def _confirmed(pairs: DataFrame, classes: DataFrame, docs: DataFrame, key: str, text: str, known: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     """(the pairs whose whole texts reach the similarity, the sets of all classes met). Pairs first meet by the
     sketches. The texts of those not ruled out whose sets are not known are read again for their sets, in a narrow
-    pass: a map of bits tells which rows are wanted, and what it lets through beside them meets no pair."""
+    pass: a map of bits tells which rows are wanted, and what it lets through beside them meets no pair. What is
+    left of many partitions is rebalanced before it is written, so that it makes few files."""
     num, den = LEAST
 
     def joined(rows: DataFrame, s: DataFrame, column: str) -> DataFrame:
@@ -140,26 +153,26 @@ def _confirmed(pairs: DataFrame, classes: DataFrame, docs: DataFrame, key: str,
         return rows.join(left, F.col("a") == F.col("a_")).join(right, F.col("b") == F.col("b_")).select("a", "b", "sa", "sb")
 
     def rough(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in _lean(batches):
             keep = pa.array(_may_reach(batch.column(2).to_pylist(), batch.column(3).to_pylist()))
             yield pa.RecordBatch.from_arrays([batch.column(k).filter(keep) for k in (0, 1)], names=["a", "b"])
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in _lean(batches):
             keep = []
             for x, y in zip(batch.column(2), batch.column(3), strict=True):
                 x, y = np.asarray(x.values), np.asarray(y.values)
                 keep.append((num + den) * len(np.intersect1d(x, y, assume_unique=True)) >= num * (len(x) + len(y)))
             yield pa.RecordBatch.from_arrays([batch.column(k).filter(pa.array(keep, pa.bool_())) for k in (0, 1)], names=["a", "b"])
 
-    pairs = checkpoint(joined(pairs.distinct(), classes, "sketch").mapInArrow(rough, "a binary, b binary"))
+    pairs = checkpoint(joined(pairs.distinct(), classes, "sketch").mapInArrow(rough, "a binary, b binary").hint("rebalance"))
     need = pairs.select(F.col("a").alias("cls")).unionByName(pairs.select(F.col("b").alias("cls"))).distinct()
     if known is not None:
         need = need.join(known.select("cls"), "cls", "left_anti")
     wanted = docs.sparkSession.sparkContext.broadcast(_wanted(classes.join(need, "cls").select("key")))
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in _lean(batches):
             low = np.asarray(batch.column(0)) & ((1 << MAP_BITS) - 1)
             texts = batch.column(1).filter(pa.array((wanted.value[low >> 6] >> (low & 63) & 1).astype(bool)))
             for i in range(0, len(texts), SLICE):
@@ -168,7 +181,7 @@ def _confirmed(pairs: DataFrame, classes: DataFrame, docs: DataFrame, key: str,
 
     s = stored(docs.select(key, text).mapInArrow(sets, "cls binary, s array<long>"), "similar-sets")
     s = s if known is None else s.unionByName(known)
-    return checkpoint(joined(pairs, s.dropDuplicates(["cls"]), "s").mapInArrow(check, "a binary, b binary")), s
+    return checkpoint(joined(pairs, s.dropDuplicates(["cls"]), "s").mapInArrow(check, "a binary, b binary").hint("rebalance")), s
 
 
 def _digest(s: np.ndarray) -> bytes:
@@ -190,7 +203,7 @@ def groups(docs: DataFrame, id_col: str, key: str, text: str = "text") -> DataFr
     shared = spark.sparkContext.broadcast(_frequent(docs, key, text))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in batches:
+        for whole in _lean(batches):
             for i in range(0, whole.num_rows, SLICE):
                 batch = whole.slice(i, SLICE)
                 s = [shingle_set(x.as_py()) for x in batch.column(2)]
@@ -206,7 +219,7 @@ def groups(docs: DataFrame, id_col: str, key: str, text: str = "text") -> DataFr
     one = rows.join(classes.select(F.col("cls").alias("cls_"), F.col("key").alias("key_")), (F.col("cls") == F.col("cls_")) & (F.col(key) == F.col("key_"))).dropDuplicates(["cls", key])
     each = one.select("cls", "n", F.posexplode("first").alias("at", "s"))
     member = F.struct("cls", "n", "at", F.lit(None).cast("binary").alias("comp"))
-    met = stored(each.groupBy("s").agg(F.collect_list(member).alias("members")).where(F.size("members") > 1), "similar-groups")
+    met = stored(each.groupBy("s").agg(F.collect_list(member).alias("members")).where(F.size("members") > 1).hint("rebalance"), "similar-groups")
     near = simhash_pairs(classes.select("cls", "fp"))
     links, sets = _confirmed(_candidates(met, True).unionByName(near), classes, docs, key, text)
     comp = checkpoint(components(links))

@@ -109,3 +109,19 @@ def test_the_stage_asks_the_fingerprints(spark, monkeypatch):
     monkeypatch.setattr(similar, "simhash_pairs", lambda classes: seen.append(real(classes)) or seen[-1])
     docs = spark.createDataFrame([(i, t, "en", "s", 1) for i, t in enumerate(texts)], "doc_id long, text string, lang string, source string, n_chars long")
     assert kept_of(spark, docs) == [0, 2, 3] and seen[0].count() == 1
+
+
+def test_workers_give_memory_back():
+    import psutil
+
+    own = psutil.Process().memory_info
+
+    def batches():
+        held = [bytes(3000) for _ in range(40_000)]
+        keep, full = held[::400], own().rss
+        del held
+        yield full, keep
+
+    ((full, _),) = similar._lean(batches())
+    for i, _ in enumerate(similar._lean(iter([0, 1]))):
+        assert i or own().rss < full - (60 << 20)
