@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import table
-from .textmodel import Rows, ShapeFeatures, fit_ordinal
+from .textmodel import ShapeFeatures, fit_ordinal
 from .training import held_out, sample
 
 #: A document is kept when P(grade >= KEEP_GRADE) is at least KEEP_PROBABILITY.
@@ -52,11 +52,11 @@ def _features(text: str | None):
 def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", id_col: str = "doc_id", text: str = "text") -> Quality:
     """Fit on a bounded sample of rated rows that are not held out. Grades are the ratings in order; with
     fewer than two grades every text gets the one grade there is (0 without ratings)."""
-    y, slots, values, _ = sample(docs, labels, label, _features, id_col, text)
+    y, rows, _ = sample(docs, labels, label, _features, id_col, text)
     grades = sorted(set(y.tolist()))
     if len(grades) < 2:
         return Quality(np.zeros(1 << 18), np.zeros(0), grades or [0])
-    w, cuts = fit_ordinal(Rows(slots, values), np.searchsorted(grades, y), len(grades))
+    w, cuts = fit_ordinal(rows, np.searchsorted(grades, y), len(grades))
     return Quality(w, cuts, grades)
 
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+import tempfile
 import zlib
 from collections import Counter
 from itertools import groupby
@@ -11,6 +12,8 @@ import numpy as np
 
 BITS = 18
 SIZE = 1 << BITS
+#: Features that the training of a model handles at once; a longer row is a part of its own.
+PART = 1 << 18
 _WORDS = re.compile(r"[^\W\d_]+")
 
 
@@ -120,24 +123,91 @@ class ShapeFeatures:
 
 
 class Rows:
-    """A sparse matrix by rows: slots and values of all rows, one after another."""
+    """A sparse matrix by rows: slots and values of all rows, one after another, in memory or in mapped files."""
 
     def __init__(self, slots: list[np.ndarray], values: list[np.ndarray] | None = None):
-        self.sizes = np.array([len(s) for s in slots], dtype=np.int64)
-        self.ends = np.concatenate([[0], np.cumsum(self.sizes)])
         self.slots = np.concatenate(slots).astype(np.int32) if slots else np.zeros(0, np.int32)
-        self.values = None if values is None else np.concatenate(values).astype(np.float32) if values else np.zeros(0, np.float32)
+        self.values = np.ones(len(self.slots), np.float32) if values is None or not values else np.concatenate(values).astype(np.float32)
+        self._places([len(s) for s in slots])
 
-    def batch(self, k: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(row numbers in the batch, slots, values) of the rows k."""
-        at = np.concatenate([np.arange(self.ends[i], self.ends[i + 1]) for i in k]) if len(k) else np.zeros(0, np.int64)
-        rows = np.repeat(np.arange(len(k)), self.sizes[k])
-        return rows, self.slots[at], np.ones(len(at), np.float32) if self.values is None else self.values[at]
+    def _places(self, sizes: list[int]) -> None:
+        self.sizes = np.array(sizes, dtype=np.int64)
+        self.starts = np.cumsum(self.sizes) - self.sizes
+
+    def pick(self, k: list[int]) -> Rows:
+        """The rows k; slots and values are shared."""
+        got = Rows([])
+        got.slots, got.values, got.sizes, got.starts = self.slots, self.values, self.sizes[k], self.starts[k]
+        return got
+
+    def without(self, dead: np.ndarray) -> Rows:
+        """The rows without the features of dead slots, in files."""
+        kept = RowFile()
+        for at, n in zip(self.starts, self.sizes, strict=True):
+            s = self.slots[at : at + n]
+            live = ~dead[s]
+            kept.add(s[live], self.values[at : at + n][live])
+        return kept.rows()
+
+    def parts(self, k: np.ndarray):
+        """(from, to, row numbers in the part, slots, values) of the rows k, some rows with at most PART features at a time."""
+        ends, low = np.cumsum(self.sizes[k]), 0
+        while low < len(k):
+            before = ends[low - 1] if low else 0
+            high = max(low + 1, int(np.searchsorted(ends, before + PART, side="right")))
+            at = np.concatenate([np.arange(self.starts[i], self.starts[i] + self.sizes[i]) for i in k[low:high]])
+            yield low, high, np.repeat(np.arange(high - low), self.sizes[k[low:high]]), self.slots[at], self.values[at]
+            low = high
+
+    def dot(self, w: np.ndarray, k: np.ndarray) -> np.ndarray:
+        """Sum of weight * value of each of the rows k."""
+        z = np.zeros(len(k))
+        for low, high, r, s, v in self.parts(k):
+            z[low:high] = np.bincount(r, w[s] * v, minlength=high - low)
+        return z
+
+    def spread(self, e: np.ndarray, k: np.ndarray) -> np.ndarray:
+        """Sum of e * value at each slot over the rows k, added row by row."""
+        g = np.zeros(SIZE)
+        for low, high, r, s, v in self.parts(k):
+            x = e[low:high][r] * v
+            if low == 0 and len(s):
+                g = np.bincount(s, x, minlength=SIZE)
+            else:
+                np.add.at(g, s, x)
+        return g
+
+
+class RowFile:
+    """Takes rows one at a time into unnamed temporary files, which rows() maps: memory is needed for what is read."""
+
+    def __init__(self):
+        self.sizes: list[int] = []
+        self.files = [(tempfile.TemporaryFile(), kind) for kind in (np.int32, np.float32)]
+
+    def add(self, slots: np.ndarray, values: np.ndarray) -> None:
+        for (file, kind), x in zip(self.files, (slots, values), strict=True):
+            file.write(np.ascontiguousarray(x, dtype=kind))
+        self.sizes.append(len(slots))
+
+    def rows(self) -> Rows:
+        got, n = Rows([]), sum(self.sizes)
+        got._places(self.sizes)
+        for file, _ in self.files:
+            file.flush()
+        if n:
+            got.slots, got.values = (np.asarray(np.memmap(file, kind, "r", shape=(n,))) for file, kind in self.files)
+        for file, _ in self.files:
+            file.close()
+        return got
 
 
 def rare(rows: Rows, least: int) -> np.ndarray:
     """Slots met in fewer than `least` rows."""
-    return np.bincount(rows.slots, minlength=SIZE) < least
+    n = np.zeros(SIZE, np.int64)
+    for i in range(0, len(rows.slots), PART):
+        n += np.bincount(rows.slots[i : i + PART], minlength=SIZE)
+    return n < least
 
 
 def fit_logistic(rows: Rows, y: np.ndarray, pairs: tuple[Rows, Rows] | None = None, fair: float = 1.0, weight: float = 3.0, epochs: int = 40, rate: float = 0.15, l2: float = 5e-3, least: int = 8, seed: int = 42) -> tuple[np.ndarray, float]:
@@ -148,6 +218,7 @@ def fit_logistic(rows: Rows, y: np.ndarray, pairs: tuple[Rows, Rows] | None = No
     """
     rng, w, g2 = np.random.default_rng(seed), np.zeros(SIZE), np.full(SIZE, 1e-6)
     dead = rare(rows, least)
+    rows, pairs = rows.without(dead), pairs and (pairs[0].without(dead), pairs[1].without(dead))  # their weights stay zero
     p0 = min(max(float(y.mean()) if len(y) else 0.5, 1e-3), 1 - 1e-3)
     b, b2 = float(np.log(p0 / (1 - p0))), 1e-6
     n_pairs = len(pairs[0].sizes) if pairs else 0
@@ -155,15 +226,13 @@ def fit_logistic(rows: Rows, y: np.ndarray, pairs: tuple[Rows, Rows] | None = No
         order = rng.permutation(len(y))
         for i in range(0, len(order), 256):
             k = order[i : i + 256]
-            r, s, v = rows.batch(k)
-            z = np.bincount(r, w[s] * v, minlength=len(k)) + b
+            z = rows.dot(w, k) + b
             e = (1 / (1 + np.exp(-np.clip(z, -30, 30))) - y[k]) * np.where(y[k] > 0, weight, 1.0) / len(k)
-            g = np.bincount(s, e[r] * v, minlength=SIZE)
+            g = rows.spread(e, k)
             if n_pairs:
                 q = rng.integers(0, n_pairs, min(64, n_pairs))
-                (r1, s1, v1), (r2, s2, v2) = (x.batch(q) for x in pairs)
-                d = fair * (np.bincount(r1, w[s1] * v1, minlength=len(q)) - np.bincount(r2, w[s2] * v2, minlength=len(q))) / len(q)
-                g += np.bincount(s1, d[r1] * v1, minlength=SIZE) - np.bincount(s2, d[r2] * v2, minlength=SIZE)
+                d = fair * (pairs[0].dot(w, q) - pairs[1].dot(w, q)) / len(q)
+                g += pairs[0].spread(d, q) - pairs[1].spread(d, q)
             g += l2 * w
             g[dead] = 0
             g2 += g * g
@@ -182,6 +251,7 @@ def fit_ordinal(rows: Rows, grade: np.ndarray, grades: int, epochs: int = 12, ra
     """
     rng, w, g2 = np.random.default_rng(seed), np.zeros(SIZE), np.full(SIZE, 1e-6)
     dead, m = rare(rows, least), grades - 1
+    rows = rows.without(dead)  # their weights stay zero
     share = np.clip(np.cumsum(np.bincount(grade, minlength=grades))[:m] / max(1, len(grade)), 1e-3, 1 - 1e-3)
     cut = np.log(share / (1 - share))
     free = np.concatenate([cut[:1], np.log(np.maximum(np.diff(cut), 1e-2))])
@@ -191,15 +261,14 @@ def fit_ordinal(rows: Rows, grade: np.ndarray, grades: int, epochs: int = 12, ra
         order = rng.permutation(len(grade))
         for i in range(0, len(order), 256):
             k = order[i : i + 256]
-            r, s, v = rows.batch(k)
-            z, t = np.bincount(r, w[s] * v, minlength=len(k)), thresholds(free)
+            z, t = rows.dot(w, k), thresholds(free)
             up = np.concatenate([t, [np.inf]])[grade[k]]
             low = np.concatenate([[-np.inf], t])[grade[k]]
             a, c = sig(up - z), sig(low - z)
             p = np.maximum(a - c, 1e-12)
             da, dc = a * (1 - a) / p / len(k), c * (1 - c) / p / len(k)
             e = da - dc  # derivative of -log p by the score
-            g = np.bincount(s, e[r] * v, minlength=SIZE) + l2 * w
+            g = rows.spread(e, k) + l2 * w
             g[dead] = 0
             g2 += g * g
             w -= rate * g / np.sqrt(g2)

@@ -46,21 +46,26 @@ class Toxicity:
         return float(1 / (1 + np.exp(-np.clip(float(self.weights[s] @ v) + self.bias, -30, 30))))
 
 
+def swapped(words: set[str]) -> set[str] | None:
+    """The words with the identity terms swapped; null where there are none."""
+    return {SWAP.get(w, w) for w in words} if words & SWAP.keys() else None
+
+
 def counterfactuals(words: list[str | None]) -> tuple[Rows, Rows] | None:
     """Feature rows of the texts that name a group, and of the same texts with the terms swapped."""
     f, a, b = WordFeatures(), [], []
     for x in words:
         ws = set((x or "").split())
-        if ws & SWAP.keys():
+        if (other := swapped(ws)) is not None:
             a.append(f.of_words(ws))
-            b.append(f.of_words({SWAP.get(w, w) for w in ws}))
+            b.append(f.of_words(other))
     return (Rows([s for s, _ in a], [v for _, v in a]), Rows([s for s, _ in b], [v for _, v in b])) if a else None
 
 
 def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", id_col: str = "doc_id", text: str = "text", fair: float = 1.0) -> Toxicity:
     """Fit on a bounded sample of labelled rows that are not held out. Without labels the score is constant."""
-    y, slots, values, words = sample(docs, labels, label, _features, id_col, text, words=frozenset(SWAP))
-    return Toxicity(*fit_logistic(Rows(slots, values), y.astype(float), counterfactuals(words), fair))
+    y, rows, (named, others) = sample(docs, labels, label, _features, id_col, text, twin=_twin)
+    return Toxicity(*fit_logistic(rows, y.astype(float), (rows.pick(named), others) if named else None, fair))
 
 
 @lru_cache(maxsize=1)
@@ -72,6 +77,11 @@ def _features(text: str | None):
     return _words()(text)
 
 
+def _twin(text: str | None):
+    other = swapped(words_of(text))
+    return None if other is None else _words().of_words(other)
+
+
 def score(docs: DataFrame, model: Toxicity, text: str = "text", out: str = "score") -> DataFrame:
     """docs plus a score in [0, 1] of each whole text, null and empty texts too. One narrow pass."""
     shared = docs.sparkSession.sparkContext.broadcast(model)

@@ -9,8 +9,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .textmodel import RowFile
+
 #: Labelled documents that a classifier is fitted on at most, taken by the order of a hash of their id.
 SAMPLE = 6000
+#: Pieces in which the features of the sample come to the driver.
+PIECES = 32
 
 
 def held_out(id_col: str):
@@ -18,28 +22,38 @@ def held_out(id_col: str):
     return F.coalesce(F.pmod(F.crc32(F.col(id_col).cast("string").cast("binary")), F.lit(4)) == 2, F.lit(False))
 
 
-def sample(docs: DataFrame, labels: DataFrame, label: str, features: Callable, id_col: str = "doc_id", text: str = "text", most: int = SAMPLE, words: frozenset[str] = frozenset()):
-    """(labels, slots, values, word lists) of the training sample, on the driver. Word lists are those of the
-    texts that hold one of `words`; null for the others.
+def sample(docs: DataFrame, labels: DataFrame, label: str, features: Callable, id_col: str = "doc_id", text: str = "text", most: int = SAMPLE, twin: Callable | None = None):
+    """(labels, Rows, twins) of the training sample, on the driver, where the features lie in temporary files.
 
     At most `most` labelled ids, so the ids are broadcast and texts are not shuffled; features are computed
-    on the executors. Null labels and ids are left out; of several labels of an id the largest holds.
+    on the executors and come in PIECES, of which the driver holds one at a time. Null labels and ids are left out;
+    of several labels of an id the largest holds.
+    twin: the features of a text that is changed somehow, or null. Twins are (the rows that have one, their Rows).
     """
     ids = labels.where(F.col(label).isNotNull() & F.col(id_col).isNotNull() & ~held_out(id_col)).groupBy(id_col).agg(F.max(label).cast("int").alias("y"))
     ids = ids.orderBy(F.xxhash64(id_col), id_col).limit(most).select(F.col(id_col).alias("__lx_id"), "y")
     rows = docs.select(F.col(id_col).alias("id"), F.col(text).alias("text")).join(F.broadcast(ids), F.col("id") == F.col("__lx_id")).select("id", "y", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from .textmodel import words_of
-
-        for batch in batches:
-            got = [features(t.as_py()) for t in batch.column(2)]
-            lists = lambda parts, kind: pa.array([p.tolist() for p in parts], pa.list_(kind))
-            met = [words_of(t.as_py()) if words else set() for t in batch.column(2)]
-            w = pa.array([" ".join(sorted(m)) if m & words else None for m in met], pa.string())
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), lists([g[0] for g in got], pa.int32()), lists([g[1] for g in got], pa.float32()), w], names=["id", "y", "slots", "values", "words"])
-
-    got = rows.mapInArrow(run, f"id {docs.schema[id_col].dataType.simpleString()}, y int, slots array<int>, values array<float>, words string")
-    t = got.orderBy(F.xxhash64("id"), "id", F.xxhash64("slots", "values")).limit(most).toArrow()
-    split = lambda c, kind: [np.asarray(x.values, dtype=kind) for x in t.column(c)]
-    return t.column("y").to_numpy().astype(np.int64), split("slots", np.int32), split("values", np.float32), t.column("words").to_pylist()
+        pack = lambda parts, i: pa.array([p and p[i].tobytes() for p in parts], pa.binary())
+        for whole in batches:
+            for at in range(0, whole.num_rows, 256):
+                batch = whole.slice(at, 256)
+                got, twins = [], []
+                for t in batch.column(2):
+                    t = t.as_py()
+                    got.append(features(t))
+                    twins.append(twin(t) if twin else None)
+                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pack(got, 0), pack(got, 1), pack(twins, 0), pack(twins, 1)], names=["id", "y", "slots", "values", "twin_slots", "twin_values"])
+
+    got = rows.mapInArrow(run, f"id {docs.schema[id_col].dataType.simpleString()}, y int, slots binary, values binary, twin_slots binary, twin_values binary")
+    order = [F.xxhash64("id"), F.col("id"), F.xxhash64("slots", "values")]
+    got = got.orderBy(*order).limit(most).repartitionByRange(PIECES, *order).sortWithinPartitions(*order).drop("id")
+    y, own, has, twins = [], RowFile(), [], RowFile()
+    for r in got.toLocalIterator():
+        if r.twin_slots is not None:
+            has.append(len(y))
+            twins.add(np.frombuffer(r.twin_slots, np.int32), np.frombuffer(r.twin_values, np.float32))
+        own.add(np.frombuffer(r.slots, np.int32), np.frombuffer(r.values, np.float32))
+        y.append(r.y)
+    return np.array(y, dtype=np.int64), own.rows(), (has, twins.rows())
