@@ -292,9 +292,12 @@ def greedy_longest_match(spark, sf_dir):
 
 @query()
 def token_coverage(spark, sf_dir):
-    vocab = vocabulary(spark, sf_dir)
-    rows = E.spans(docs(spark, sf_dir), "text", E.share(spark, vocab), ["doc_id"])
-    return rows.groupBy("id").agg(F.count("*").alias("n"), F.sum("len").alias("bytes_covered"))
+    return _coverage(spark, sf_dir, vocabulary(spark, sf_dir))
+
+
+def _coverage(spark: SparkSession, sf_dir: str, vocab: Vocab) -> DataFrame:
+    rows = E.coverage(docs(spark, sf_dir), "text", E.share(spark, vocab))
+    return rows.groupBy("id").agg(F.sum("n").alias("n"), F.sum("bytes").alias("bytes_covered"))
 
 
 @query()
