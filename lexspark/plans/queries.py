@@ -303,7 +303,7 @@ def _coverage(spark: SparkSession, sf_dir: str, vocab: Vocab) -> DataFrame:
 @query()
 def worst_tokens(spark, sf_dir):
     vocab = vocabulary(spark, sf_dir)
-    used = token_coverage(spark, sf_dir)
+    used = _coverage(spark, sf_dir, vocab)
     info = vocab.tables(spark)[3].where((F.col("type") == 0))
     return info.join(used, "id", "left").select("id", F.hex("token").alias("token"), F.coalesce("bytes_covered", F.lit(0)).alias("bytes_covered")).orderBy("bytes_covered", "id").limit(100)
 

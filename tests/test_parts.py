@@ -8,6 +8,7 @@ from pyspark.sql import types as T
 
 from lexspark.operators import encode as E
 from lexspark.operators.vocab import Vocab
+from lexspark.plans import queries as Q
 
 VOCAB = Vocab.new([b" there", b"the", b"re", b" the", b"xthe", b"x", b" x", b" xy", b" cat", b"D the"], capcode=2, reserve=1)
 ODD = [None, "", "xthere xthere", "The Cat x1 THERE", "é€😀", "x" * 7, None, " "]
@@ -50,3 +51,13 @@ def test_coverage_is_the_sum_of_spans(spark):
     df = spark.createDataFrame([(t,) for t in ODD * 5], "text string").repartition(3)
     rows = E.coverage(df, "text", E.share(spark, VOCAB)).groupBy("id").sum("n", "bytes").collect()
     assert {r.id: tuple(r)[1:] for r in rows} == {i: (n[i], covered[i]) for i in n} and len(rows) == len(n)
+
+
+def test_worst_tokens_mine_once(spark, sf, monkeypatch):
+    made = []
+    monkeypatch.setattr(Q, "vocabulary", lambda *a: made.append(a) or VOCAB)
+    got = [tuple(r) for r in Q.worst_tokens(spark, sf).collect()]
+    used = {r.id: r.bytes_covered for r in Q.token_coverage(spark, sf).collect()}
+    assert len(made) == 2  # one for each query
+    info = VOCAB.tables(spark)[3].where("type = 0").collect()
+    assert got == sorted(((r.id, bytes(r.token).hex().upper(), used.get(r.id, 0)) for r in info), key=lambda r: (r[2], r[0]))[:100]
