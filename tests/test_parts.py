@@ -61,3 +61,21 @@ def test_worst_tokens_mine_once(spark, sf, monkeypatch):
     assert len(made) == 2  # one for each query
     info = VOCAB.tables(spark)[3].where("type = 0").collect()
     assert got == sorted(((r.id, bytes(r.token).hex().upper(), used.get(r.id, 0)) for r in info), key=lambda r: (r[2], r[0]))[:100]
+
+
+def test_step_tables_are_as_wide_as_the_bytes_in_tokens(monkeypatch):
+    e = E.Encoder(VOCAB)
+    data = e.model("xthere xthere The Cat other there " * 300)
+    assert len(e.trie.dense) <= 128 * len(e.trie.token)  # before: 512 columns, most of them never read
+    ids = e.encode(data)
+    monkeypatch.setattr(E, "DENSE", 0)  # the hash table of large vocabularies
+    plain_table = E.Encoder(VOCAB)
+    assert plain_table.trie.dense is None and plain_table.encode(data) == ids
+
+
+def test_windows_meet(monkeypatch):
+    e = E.Encoder(VOCAB)
+    texts = [e.model(t or "") for t in ODD * 30]
+    whole = e.encode_many(texts)
+    monkeypatch.setattr(E, "WINDOW", 5)
+    assert all((a == b).all() for a, b in zip(whole, e.encode_many(texts), strict=True))
