@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
-import pandas as pd
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import capcode as cap
 from ..functions.charclass import incomplete_tail, incomplete_tail_utf16
+from .encode import PART, encoder_of
 from .vocab import Vocab
 
 
@@ -37,16 +41,37 @@ class StreamDecoder:
         return rest
 
 
+def texts_of(ids: np.ndarray, ends: np.ndarray, valid: pa.Array, vocab: Vocab) -> pa.Array:
+    """The texts of the ids between the ends; null where a row is not valid."""
+    back, level = vocab.reverse, vocab.capcode
+    one = lambda x: cap.decode_bytes(b"".join([back.get(i, b"") for i in x]), level).decode("utf-8", "replace")
+    return pa.array([one(ids[a:b].tolist()) if ok else None for a, b, ok in zip(ends, ends[1:], valid.to_pylist(), strict=False)], pa.string())
+
+
 def detokenize_udf(shared: Broadcast):
-    @F.pandas_udf("string")
-    def run(col: pd.Series) -> pd.Series:
-        vocab = shared.value
-        back, level = vocab.reverse, vocab.capcode
-        return col.map(lambda x: None if x is None else cap.decode_bytes(b"".join([back.get(int(i), b"") for i in x]), level).decode("utf-8", "replace"))
+    @F.arrow_udf("string")
+    def run(col: pa.Array) -> pa.Array:
+        return texts_of(np.asarray(col.values), np.asarray(col.offsets), col.is_valid(), shared.value)
 
     return run
 
 
+def round_trip(df: DataFrame, text: str, shared: Broadcast) -> DataFrame:
+    """df with the text encoded and its ids decoded again, in one worker; of a batch, the ids and texts of a part are held."""
+    at = df.columns.index(text)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        e = encoder_of(shared)
+        for batch in batches:
+            done = 0
+            for ids, ends, _ in e.texts(batch.column(at), PART):
+                part = batch.slice(done, len(ends) - 1)
+                done += len(ends) - 1
+                yield part.set_column(at, text, texts_of(ids, ends, part.column(at).is_valid(), e.vocab))
+
+    return df.mapInArrow(run, df.schema)
+
+
 def detokenize_join(df: DataFrame, ids: str, key: str, info: DataFrame) -> DataFrame:
     """(key, bytes as hex): decoding as a join with vocab_info, which is small by construction (< 2^24 rows).
 

@@ -240,8 +240,7 @@ def chars_per_token(spark, sf_dir):
 @query("SELECT doc_id, text FROM documents")
 def detokenize(spark, sf_dir):
     v = E.share(spark, vocabulary(spark, sf_dir))
-    ids = docs(spark, sf_dir).select("doc_id", E.tokenize(F.col("text"), v)["tokens"].alias("ids"))
-    return ids.select("doc_id", D.detokenize_udf(v)("ids").alias("text"))
+    return D.round_trip(docs(spark, sf_dir), "text", v)
 
 
 @query("SELECT item_id, hex(encode(text)) AS hex FROM benchmark")

@@ -79,3 +79,17 @@ def test_windows_meet(monkeypatch):
     whole = e.encode_many(texts)
     monkeypatch.setattr(E, "WINDOW", 5)
     assert all((a == b).all() for a, b in zip(whole, e.encode_many(texts), strict=True))
+
+
+def test_decoding_keeps_nulls_and_skips_unknown_ids(spark):
+    ids = [None, [], [VOCAB.token_to_id(b" there"), 1 << 20, None]]
+    odd = spark.createDataFrame([(x,) for x in ids], "ids array<int>").select(Q.D.detokenize_udf(E.share(spark, VOCAB))("ids"))
+    assert [r[0] for r in odd.collect()] == [None, "", " there"]  # before: an error at a null id
+
+
+def test_detokenize_has_one_python_step_and_parts(spark, sf, monkeypatch):
+    monkeypatch.setattr(Q, "vocabulary", lambda *a: VOCAB)
+    plan = Q.detokenize(spark, sf)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("MapInArrow") == 1 and "ArrowEvalPython" not in plan  # before: two steps, and the ids went through the JVM
+    df = spark.createDataFrame([(k, t) for k, t in enumerate(ODD * 3)], "doc_id long, text string").repartition(2)
+    assert {tuple(r) for r in Q.D.round_trip(df, "text", E.share(spark, VOCAB)).collect()} == set(enumerate(ODD * 3))
