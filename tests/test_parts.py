@@ -93,3 +93,10 @@ def test_detokenize_has_one_python_step_and_parts(spark, sf, monkeypatch):
     assert plan.count("MapInArrow") == 1 and "ArrowEvalPython" not in plan  # before: two steps, and the ids went through the JVM
     df = spark.createDataFrame([(k, t) for k, t in enumerate(ODD * 3)], "doc_id long, text string").repartition(2)
     assert {tuple(r) for r in Q.D.round_trip(df, "text", E.share(spark, VOCAB)).collect()} == set(enumerate(ODD * 3))
+
+
+def test_counts_are_those_of_the_ids(spark):
+    v = E.share(spark, VOCAB)
+    df = spark.createDataFrame([(t,) for t in ODD * 3], "text string")
+    rows = df.select(E.tokenize(df.text, v)["n_tokens"].alias("a"), E.count_tokens(df.text, v).alias("b"), E.tokenize(df.text, v)["tokens"].alias("ids")).collect()
+    assert all(r.a == r.b == (None if r.ids is None else len(r.ids)) for r in rows)
