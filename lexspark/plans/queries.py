@@ -254,8 +254,7 @@ def detokenize_join(spark, sf_dir):
 @query(r"SELECT doc_id, regexp_replace(hex(encode(text)), '(..)', '\1' || '00', 'g') AS u16 FROM documents")
 def serialize_u16(spark, sf_dir):
     v = E.share(spark, Vocab.new([bytes([b]) for b in range(256)]))
-    ids = docs(spark, sf_dir).select("doc_id", E.tokenize(F.col("text"), v)["tokens"].alias("ids"))
-    return ids.select("doc_id", F.hex(E.serialize_col(F.col("ids"), 2)).alias("u16"))
+    return docs(spark, sf_dir).select("doc_id", F.hex(E.tokenize_serialized(F.col("text"), v, 2)).alias("u16"))
 
 
 @query("""SELECT item_id, count(*)::INTEGER AS n, sum(('0x' || substr(h, 2 * i - 1, 2))::INTEGER)::BIGINT AS total

@@ -100,3 +100,15 @@ def test_counts_are_those_of_the_ids(spark):
     df = spark.createDataFrame([(t,) for t in ODD * 3], "text string")
     rows = df.select(E.tokenize(df.text, v)["n_tokens"].alias("a"), E.count_tokens(df.text, v).alias("b"), E.tokenize(df.text, v)["tokens"].alias("ids")).collect()
     assert all(r.a == r.b == (None if r.ids is None else len(r.ids)) for r in rows)
+
+
+def test_packed_ids_by_kernel_and_by_expression(spark, sf):
+    v = E.share(spark, VOCAB)
+    df = spark.createDataFrame([(t,) for t in ODD], "text string")
+    for width in (2, 3, 4):
+        rows = df.select(E.serialize_col(E.tokenize(df.text, v)["tokens"], width).alias("a"), E.tokenize_serialized(df.text, v, width).alias("b")).collect()
+        assert all(r.a == r.b for r in rows)
+    ids = spark.createDataFrame([([0, 255, 256, 65535, 65536, 2**24 - 2],)], "ids array<int>")
+    assert bytes(ids.select(E.serialize_col(ids.ids, 3)).first()[0]) == E.serialize([0, 255, 256, 65535, 65536, 2**24 - 2], 3)
+    plan = Q.serialize_u16(spark, sf)._jdf.queryExecution().executedPlan().toString()
+    assert "transform(" not in plan  # before: each id a row of strings in the JVM
